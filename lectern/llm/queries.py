@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, packing, splitting, tokens
+from lectern.llm import mixing, neardup, packing, splitting, tokens
 from lectern.llm.texts import chunk_texts
 from lectern.sources.tables import table
 
@@ -23,6 +23,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_pieces(spark, folder).filter("piece_no = 1").select("rowid")
 
 
+def _alike(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    texts = chunk_texts(spark, folder)
+    return neardup.near_duplicates(texts, "rowid", words=3, similarity=0.7, least_words=20)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.expanded(*_alike(spark, folder)).select(F.col("a").alias("rowid_a"), F.col("b").alias("rowid_b"))
+
+
 def _budgets(spark: SparkSession, folder: str) -> list[tuple[int, int, int]]:
     rows = table(spark, folder, "pack_budgets").select("budget_id", "capacity_tokens", "separator_tokens").distinct().collect()
     return sorted((r[0], r[1], r[2] or 0) for r in rows)
@@ -61,6 +70,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p5_found": p5_found,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
     "p7_records": p7_records,
