@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, neardup, packing, splitting, tokens
+from lectern.llm import mixing, neardup, packing, spans, splitting, tokens
 from lectern.llm.texts import chunk_texts
 from lectern.sources.tables import table
 
@@ -67,6 +67,23 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, folder))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    matches, members = spans.shared_spans(table(spark, folder, "documents"))
+    pairs = spans.local_matches(matches, members).select("doc_a", "doc_b").distinct()
+    return pairs.select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
+
+
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The shared passages of each pair of documents, at full length."""
+    return spans.spans(*spans.shared_spans(table(spark, folder, "documents")))
+
+
+def p8_shared_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document with a shared passage, the part of its text that stands in others too."""
+    documents = table(spark, folder, "documents")
+    return spans.shared_parts(*spans.shared_spans(documents), documents)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -75,6 +92,9 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_records": p7_records,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
+    "p8_shared_parts": p8_shared_parts,
 }
 
 _TEXTS = """
