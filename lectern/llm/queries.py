@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, neardup, packing, spans, splitting, tokens
+from lectern.llm import mixing, neardup, neighbours, packing, spans, splitting, tokens
 from lectern.llm.texts import chunk_texts
 from lectern.sources.tables import table
 
@@ -23,6 +23,21 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_pieces(spark, folder).filter("piece_no = 1").select("rowid")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    near, keys = neighbours.nearest(table(spark, folder, "vectors"))
+    # Pairs are told apart by their ids; the keys, which are long, come last.
+    pairs = near.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
+    named = pairs.join(keys.select(F.col("id").alias("a"), F.col("key").alias("x")), "a").join(keys.select(F.col("id").alias("b"), F.col("key").alias("y")), "b")
+    return named.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten neighbours of each key, ranked."""
+    near, keys = neighbours.nearest(table(spark, folder, "vectors"))
+    named = near.join(keys, "id").join(keys.select(F.col("id").alias("near"), F.col("key").alias("neighbour")), "near")
+    return named.select("key", "rank", "neighbour", F.round("sim", 4).alias("similarity"))
+
+
 def _alike(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     texts = chunk_texts(spark, folder)
     return neardup.near_duplicates(texts, "rowid", words=3, similarity=0.7, least_words=20)
@@ -87,6 +102,8 @@ def p8_shared_parts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p5_found": p5_found,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
