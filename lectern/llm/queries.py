@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, neardup, neighbours, packing, spans, splitting, tokens
+from lectern.llm import mixing, neardup, neighbours, packing, scans, spans, splitting, tokens
 from lectern.llm.texts import chunk_texts
 from lectern.sources.tables import table
 
@@ -23,6 +23,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_pieces(spark, folder).filter("piece_no = 1").select("rowid")
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    texts = chunk_texts(spark, folder, "page_number", "locator_value", "extraction_method", columns=("document_id",))
+    scanned = F.coalesce(F.col("extraction_method").contains("ocr"), F.lit(False))
+    number = F.coalesce("page_number", F.col("locator_value").try_cast("int"))
+    return scans.repaired_pages(texts.filter(scanned).withColumn("page_number", number), texts.filter(~scanned))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder).select(F.col("id").alias("rowid"), F.explode("defects").alias("d")).select("rowid", "d.line_no", "d.defect")
+
+
+def p2_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scanned page as continuous paragraphs."""
+    return _pages(spark, folder).select(F.col("id").alias("rowid"), F.col("repaired").alias("text"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     near, keys = neighbours.nearest(table(spark, folder, "vectors"))
     # Pairs are told apart by their ids; the keys, which are long, come last.
@@ -102,6 +118,8 @@ def p8_shared_parts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_pages": p2_pages,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p5_found": p5_found,
