@@ -10,7 +10,7 @@ from __future__ import annotations
 #: Fixed values: (read, meant) pairs of characters that are commonly taken for one another in scanned text, in lower case.
 CONFUSIONS = (
     ("0", "o"), ("1", "l"), ("1", "i"), ("2", "z"), ("3", "e"), ("4", "a"), ("5", "s"), ("6", "b"), ("6", "g"), ("7", "t"), ("8", "b"), ("9", "g"), ("9", "q"),
-    ("|", "l"), ("|", "i"), ("!", "l"), ("!", "i"), ("$", "s"), ("l", "i"), ("i", "l"), ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("y", "v"), ("v", "y"),
+    ("|", "l"), ("|", "i"), ("!", "l"), ("!", "i"), ("$", "s"), ("l", "i"), ("i", "l"), ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("f", "e"), ("e", "f"), ("y", "v"), ("v", "y"),
     ("b", "h"), ("h", "b"), ("u", "n"), ("n", "u"), ("g", "q"), ("q", "g"), ("i", "j"), ("j", "i"),
     ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"), ("vv", "w"), ("w", "vv"), ("li", "h"), ("h", "li"), ("nn", "m"), ("ri", "n"), ("n", "ri"),
 )

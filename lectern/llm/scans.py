@@ -156,7 +156,7 @@ def line_key(line: str) -> str:
     text = line.strip()
     for pattern in _EDGE_NUMBER:
         match = pattern.search(text)
-        if match and page_value(match[1]) is not None:
+        if match and page_values(match[1]):
             text = (text[: match.start()] + " " + text[match.end() :]).strip()
             break
     text = re.sub(r"\s+", " ", text.lower())
@@ -167,28 +167,29 @@ def line_key(line: str) -> str:
 
 
 #: Characters that scanning takes for one another, each with the one that stands for them all.
-_ALIKE = str.maketrans({"1": "i", "l": "i", "|": "i", "!": "i", "j": "i", "0": "o", "c": "e", "f": "t", "7": "t", "5": "s", "$": "s", "6": "u", "8": "u", "b": "u", "h": "u", "9": "g", "q": "g", "y": "v", "w": "v", "n": "u", "2": "z"})
+_ALIKE = str.maketrans({"1": "i", "l": "i", "|": "i", "!": "i", "j": "i", "0": "o", "c": "e", "f": "e", "t": "e", "7": "e", "5": "s", "$": "s", "6": "u", "8": "u", "b": "u", "h": "u", "9": "g", "q": "g", "y": "v", "w": "v", "n": "u", "2": "z"})
 
 
-def page_value(text: str) -> int | None:
-    """The number that a token gives, in digits (also misread ones) or as a Roman numeral."""
+def page_values(text: str) -> list[int]:
+    """The numbers that a token can give: in digits, also misread ones, or as a Roman numeral ("l" is 1 or 50)."""
     if text.isdigit():
-        return int(text) if len(text) < 8 else None
+        return [int(text)] if len(text) < 8 else []
     value = lexicon.roman(text)
-    if value is not None and text.lower() not in ("l", "i"):
-        return value
     meant = "".join(lexicon.DIGITS.get(c, c) for c in text)
-    return int(meant) if meant.isdigit() and len(meant) < 8 and (any(c.isdigit() for c in text) or len(text) == 1) else value
+    out = [] if value is None else [value]
+    if meant.isdigit() and (len(text) < 4 or len(text) < 8 and any(c.isdigit() for c in text)):
+        out.append(int(meant))
+    return sorted(set(out))
 
 
-def number_line(line: str) -> int | None:
+def number_line(line: str) -> list[int]:
     match = _NUMBER_LINE.match(line.strip())
-    return page_value(match[1]) if match else None
+    return page_values(match[1]) if match else []
 
 
 def edge_lines(pages: DataFrame) -> DataFrame:
     """The two outermost lines at the top and at the bottom of each page: ``id``, ``doc``, ``page``, ``side``, ``depth``,
-    ``line_no``, ``key``, and ``value`` where the line holds only a number."""
+    ``line_no``, ``key``, and the possible ``values`` where the line holds only a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,8 +204,8 @@ def edge_lines(pages: DataFrame) -> DataFrame:
                             out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    schema = pa.schema([("id", pa.int64()), ("doc", pa.string()), ("page", pa.int32()), ("side", pa.string()), ("depth", pa.int32()), ("line_no", pa.int32()), ("key", pa.string()), ("value", pa.int32())])
-    return pages.mapInArrow(run, "id long, doc string, page int, side string, depth int, line_no int, key string, value int")
+    schema = pa.schema([("id", pa.int64()), ("doc", pa.string()), ("page", pa.int32()), ("side", pa.string()), ("depth", pa.int32()), ("line_no", pa.int32()), ("key", pa.string()), ("values", pa.list_(pa.int32()))])
+    return pages.mapInArrow(run, "id long, doc string, page int, side string, depth int, line_no int, key string, values array<int>")
 
 
 def furniture(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -216,10 +217,10 @@ def furniture(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     and reduces before the shuffle, so a document of very many pages is no hot group.
     """
     edges = durable(edge_lines(pages))
-    plain = edges.filter(F.col("value").isNull() & (F.length("key") > 1))
+    plain = edges.filter((F.size("values") == 0) & (F.length("key") > 1))
     runs = plain.groupBy("doc", "side", "key").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= least_pages)
     headers = plain.join(runs.select("doc", "side", "key"), ["doc", "side", "key"], "left_semi").select("id", "side", "depth", "line_no", F.lit("header").alias("mark"))
-    numbers = edges.filter("value is not null and page is not null").withColumn("offset", F.col("value") - F.col("page"))
+    numbers = edges.filter("page is not null").withColumn("value", F.explode("values")).withColumn("offset", F.col("value") - F.col("page"))
     steps = numbers.groupBy("doc", "side", "offset").agg(F.count_distinct("page").alias("pages"))
     steps = steps.filter("pages > 1 or offset = 0").groupBy("doc", "side").agg(F.max_by("offset", F.struct("pages", -F.abs("offset"))).alias("step"))
     of_page = numbers.join(steps, ["doc", "side"]).filter(F.col("value") == F.greatest(F.lit(1), F.col("page") + F.col("step")))
