@@ -40,3 +40,9 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` computed now and written to the shared folder: later uses read it, also after executors are lost."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps whose results are written: it does so once the driver's JVM has
+    collected what referred to them, which in a short driver program may be never."""
+    spark.sparkContext._jvm.System.gc()
