@@ -97,7 +97,11 @@ def bm25(records: DataFrame, key: str, queries: dict[str, Sequence[str]], weight
         sum((F.size(f"w_{f}") for f in weights), F.lit(0)).alias("size"),
         *[F.filter(f"w_{f}", lambda w: w.isin(terms)).alias(f"w_{f}") for f in weights],
     )
-    counts = F.array(*[sum((F.lit(float(v)) * F.size(F.filter(f"w_{f}", lambda w, t=t: w == t)) for f, v in weights.items()), F.lit(0.0)) for t in terms])
+
+    def often(field: str, term: str) -> Column:
+        return F.size(F.filter(field, lambda w: w == F.lit(term)))
+
+    counts = F.array(*[sum((F.lit(float(v)) * often(f"w_{f}", t) for f, v in weights.items()), F.lit(0.0)) for t in terms])
     counted = kept.select(key, "size", F.when(sum((F.size(f"w_{f}") for f in weights), F.lit(0)) > 0, counts).alias("tf"))
     totals = [F.count("*").alias("records"), F.avg("size").alias("mean_size"), *[F.sum(F.when(F.get("tf", F.lit(i)) > 0, 1).otherwise(0)).alias(f"df_{i}") for i in range(len(terms))]]
     corpus = counted.agg(*totals)  # one row
