@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,4 +46,5 @@ def durable(df: DataFrame) -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of steps whose results are written: it does so once the driver's JVM has
     collected what referred to them, which in a short driver program may be never."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
