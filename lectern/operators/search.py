@@ -154,7 +154,7 @@ def similar_rows(vectors: DataFrame, queries: DataFrame, key: str, vector: str,
         return pa.table({"query": cat[0], key: cat[1], "cosine": cat[2]})
 
     rows = vectors.filter(usable(vector)).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(False).alias("asking"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    asked = queries.filter(usable(vector)).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(True).alias("asking"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+    asked = queries.filter(usable(vector)).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(True).alias("asking"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     met = rows.union(asked).groupBy("block").applyInArrow(search, f"query long, `{key}` long, cosine double")
     return ranked(met, ["query"], "cosine", key, k)
 

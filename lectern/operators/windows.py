@@ -41,7 +41,7 @@ def grid_filled(df: DataFrame, by: list[str], time: str, value: str, step: str)
 def histogram(df: DataFrame, value: Column, low: float, width: float, bins: int) -> DataFrame:
     """Counts in ``bins`` bins from ``low``; the first and the last are open."""
     number = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((value - low) / width)))
-    return df.select(number.cast("int").alias("bin")).filter("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
+    return df.filter(value.isNotNull()).select(number.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], deleted: Column | None = None) -> DataFrame:

@@ -13,9 +13,11 @@ from lectern.session import checkpoint_dir
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of each type of event in tumbling windows; the watermark bounds the state. For streams and tables."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    # A watermark needs an instant, which a timestamp without a zone becomes in the session's zone.
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if events.isStreaming else timed
     grouped = timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return grouped.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
 def run_available(stream: DataFrame, into: Callable[[DataFrame, int], None], mode: str = "update") -> None:
