@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm import mixing, neardup, neighbours, packing, scans, spans, splitting, tokens
 from lectern.llm.texts import chunk_texts
+from lectern.operators.components import components
+from lectern.session import durable
 from lectern.sources.tables import table
 
 
@@ -54,6 +56,14 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("key", "rank", "neighbour", F.round("sim", 4).alias("similarity"))
 
 
+def p3_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Greedy search on the graph for every vector whose position is divisible by 20."""
+    vectors = table(spark, folder, "vectors")
+    found, keys = neighbours.search(vectors, vectors.filter("pos % 20 = 0").select(F.col("pos").alias("id")))
+    named = found.join(keys.select(F.col("id").alias("q"), F.col("key").alias("query")), "q").join(keys.select(F.col("id").alias("node"), "key"), "node")
+    return named.select("query", "rank", "key", F.round("sim", 3).alias("similarity"))
+
+
 def _alike(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     texts = chunk_texts(spark, folder)
     return neardup.near_duplicates(texts, "rowid", words=3, similarity=0.7, least_words=20)
@@ -63,6 +73,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.expanded(*_alike(spark, folder)).select(F.col("a").alias("rowid_a"), F.col("b").alias("rowid_b"))
 
 
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """For each chunk that counts: the smallest chunk of its group, the group's size, the copies with the same words, and
+    how many chunks it is alike with."""
+    links, members = _alike(spark, folder)
+    links, members = durable(links), durable(members)
+    copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
+    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
+    linked = ends.join(copies.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("across"))
+    group = components(links).select(F.col("node").alias("rep"), "component")
+    classes = copies.join(linked, "rep", "left").join(group, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = classes.groupBy("component").agg(F.sum("copies").alias("group_size"))
+    named = members.join(classes.join(sizes, "component"), "rep")
+    return named.select(F.col("key").alias("rowid"), F.col("component").alias("group_rowid"), "group_size", "copies", (F.coalesce("across", F.lit(0)) + F.col("copies") - 1).alias("links"))
+
+
 def _budgets(spark: SparkSession, folder: str) -> list[tuple[int, int, int]]:
     rows = table(spark, folder, "pack_budgets").select("budget_id", "capacity_tokens", "separator_tokens").distinct().collect()
     return sorted((r[0], r[1], r[2] or 0) for r in rows)
@@ -122,7 +147,9 @@ QUERIES = {
     "p2_pages": p2_pages,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
+    "p3_search": p3_search,
     "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
     "p7_records": p7_records,
