@@ -37,6 +37,7 @@ _TOKEN = re.compile(r"(?:[^\W_]|[|!$])+(?:[.,:/\-‐‑](?:[^\W_]|[|!$])+)*")
 _PIECE = re.compile(r"(?:[^\W_]|[|!$])+")
 _BROKEN = re.compile(rf"([^\W\d_](?:[^\W_]|[|!$\-‐‑])*)[{BREAKS}]\s*$")
 _FIRST = re.compile(r"\s*((?:[^\W_]|[|!$])+)")
+_FIRST_WHOLE = re.compile(r"\s*((?:[^\W_]|[|!$])+(?:[-‐‑](?:[^\W_]|[|!$])+)*)")
 _NUMBER_LINE = re.compile(r"^[\W_]*(?:page|p\.?|seite|página|pág\.?)?[\W_]*((?:[0-9a-zA-Z|!])+)(?:\s*(?:of|/|von|de|sur)\s*[0-9lIoOSB|]+)?[\W_]*$", re.IGNORECASE)
 _EDGE_NUMBER = (re.compile(r"^\W*([0-9A-Za-z|!]{1,7})\W*\s{2,}"), re.compile(r"\s{2,}\W*([0-9A-Za-z|!]{1,7})\W*$"))
 
@@ -244,12 +245,13 @@ def page_marks(marks: list[dict] | None) -> dict[int, str]:
 # 3. Lines
 
 
-def joined_word(first: str, second: str, known: Vocabulary) -> tuple[bool, str]:
-    """Whether a break between ``first`` and ``second`` parts a word that is written without a hyphen, and the whole."""
+def joined_word(first: str, second: str, longer: str, known: Vocabulary) -> tuple[bool, str]:
+    """Whether a break between ``first`` and ``second`` parts a word that is written without a hyphen, and the whole.
+    ``longer`` is ``second`` with what follows it after a hyphen of its own."""
     head, _, tail = first.rpartition("-") if "-" in first else ("", "", first)
     low_tail, low_second = tail.lower(), second.lower()
     whole, compound = low_tail + low_second, f"{first.lower()}-{low_second}"
-    one, two = known.words.get(whole, 0), known.compounds.get(compound, 0)
+    one, two = known.words.get(whole, 0), max(known.compounds.get(compound, 0), known.compounds.get(f"{first}-{longer}".lower(), 0))
     if head and not two:
         two = known.compounds.get(f"{low_tail}-{low_second}", 0)
     if not one and not two:
@@ -290,7 +292,8 @@ def read_page(text: str, marks: dict[int, str], following: str, known: Vocabular
         if broken_at:
             first, second = broken_at[1].replace("‐", "-").replace("‑", "-"), next_first[1] if next_first else ""
             if second and second[:1].isalpha() | (second[:1] in "|!$0123456789"):
-                is_broken, whole = joined_word(first, second, known)
+                longer = _FIRST_WHOLE.match(following_line)[1].replace("‐", "-").replace("‑", "-")
+                is_broken, whole = joined_word(first, second, longer, known)
             else:
                 is_broken, whole = first.lower().rpartition("-")[2] not in known.words, first
             if is_broken:
