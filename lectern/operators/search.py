@@ -125,11 +125,11 @@ def ranked(scores: DataFrame, by: Sequence[str], score: str, key: str, most: int
     return scores.withColumn(name, F.row_number().over(order)).filter(F.col(name) <= most)
 
 
-def similar_rows(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, blocks: int) -> DataFrame:
+def similar_rows(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """``query``, ``key``, ``cosine``: exactly the ``k`` most similar rows of ``vectors`` for each row of ``queries``.
 
-    The queries meet the rows in ``blocks`` blocks, each with a share of the rows; a block gives the k best it has for
-    each query and the best of those are the result. Vectors that are null or all zero aren't compared; a row is also
+    Queries and rows are spread over blocks of about ``block`` rows; each block of queries meets each block of rows in
+    a task of its own, which gives its k best for each query, and the best of those are the result. Vectors that are null or all zero aren't compared; a row is also
     compared with the query of its own key.
     """
 
@@ -153,9 +153,14 @@ def similar_rows(vectors: DataFrame, queries: DataFrame, key: str, vector: str,
         cat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((out_q, np.int64), (out_r, np.int64), (out_c, np.float64))]
         return pa.table({"query": cat[0], key: cat[1], "cosine": cat[2]})
 
-    rows = vectors.filter(usable(vector)).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(False).alias("asking"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    asked = queries.filter(usable(vector)).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(True).alias("asking"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    met = rows.union(asked).groupBy("block").applyInArrow(search, f"query long, `{key}` long, cosine double")
+    def side(df: DataFrame, asking: bool, own: int, others: int, own_name: str, other_name: str) -> DataFrame:
+        own_block = F.pmod(F.xxhash64(key), F.lit(own)).alias(own_name)
+        other_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other_name)
+        return df.filter(usable(vector)).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(asking).alias("asking"), own_block, other_block)
+
+    of_rows, of_queries = (max(1, -(-df.count() // block)) for df in (vectors, queries))
+    rows = side(vectors, False, of_rows, of_queries, "i", "j")
+    met = rows.unionByName(side(queries, True, of_queries, of_rows, "j", "i")).groupBy("i", "j").applyInArrow(search, f"query long, `{key}` long, cosine double")
     return ranked(met, ["query"], "cosine", key, k)
 
 

@@ -96,7 +96,7 @@ def carried_values(spark: SparkSession, folder: str) -> DataFrame:
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar embeddings for every embedding whose id is divisible by 20, exactly."""
     rows = table(spark, folder, "embeddings")
-    found = search.similar_rows(rows, rows.filter("vec_id % 20 = 0"), "vec_id", "embedding", 10, blocks=4)
+    found = search.similar_rows(rows, rows.filter("vec_id % 20 = 0"), "vec_id", "embedding", 10, block=512)
     return found.select("query", "vec_id", "rank", F.round("cosine", 5).alias("cosine"))
 
 
