@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import paths, text
-from lectern.operators import chunking, reports, search
+from lectern.operators import chunking, claims, reports, search
 from lectern.plans.archive_queries import _LAST, last_sources
 from lectern.sources.archive import line_blocks
 from lectern.sources.tables import table, with_evidence
@@ -180,11 +180,31 @@ def rank_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return search.site_fusion(weighted, "doc_id", "path").select("doc_id", "hits", F.round("score", 6).alias("score"))
 
 
+def claim_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Claims that quote their own document, and the same ones that name the following document as their source."""
+    rows = documents(spark, folder).filter(F.length("text") >= 100)
+    quote = F.substring("text", 21, 60)
+    own = rows.select((F.col("doc_id") * 2).alias("id"), F.col("doc_id").alias("source"), quote.alias("quote"))
+    other = rows.select((F.col("doc_id") * 2 + 1).alias("id"), (F.col("doc_id") + 1).alias("source"), quote.alias("quote"))
+    support = F.array(F.struct(F.col("source").cast("string").alias("source"), "quote"))
+    made = own.union(other).select("id", F.lit("as it is written").alias("text"), F.lit("answer").alias("kind"), support.alias("supports"))
+    evidence = documents(spark, folder).select(F.col("doc_id").cast("string").alias("source"), F.col("doc_id").cast("string").alias("document_id"), "text")
+    return claims.checked_claims(made, evidence)
+
+
+def follow_up_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """First sentences of a source's documents in order, read as one conversation: those that point back get context."""
+    rows = documents(spark, folder).filter("source is not null and length(text) > 0").select("doc_id", "source", F.substring_index(F.col("text"), ".", 1).alias("query"))
+    rows = rows.withColumn("talk", F.concat_ws("/", "source", F.floor(F.col("doc_id") / 50).cast("string")))
+    out = claims.rewritten_questions(rows, "talk", "doc_id", "query")
+    return out.select("doc_id", F.length("retrieval_question").alias("chars"), F.sha2(F.col("retrieval_question").cast("binary"), 256).alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         whitespace_normalised, line_range_blocks, chunk_split, chunk_identities, token_windows, probe_queries, keyword_lists, question_kinds, header_units, ledger_profile, phrase_filter,
-        quotations, excerpts, locator_counts, largest_documents, recognition_quality, citations, term_postings, bm25_topk, filtered_bm25, search_form, rank_fusion,
+        quotations, excerpts, locator_counts, largest_documents, recognition_quality, citations, term_postings, bm25_topk, filtered_bm25, search_form, rank_fusion, claim_checks, follow_up_questions,
     )
 }
 
@@ -228,7 +248,23 @@ _SEARCHED = (
 )
 _TRIMMED = "trim(regexp_replace(trim({x}), '^#+', ''))"
 
+_ONE_BLANK = r"trim(regexp_replace({x}, '[\s\p{{Z}}]+', ' ', 'g'))"
+
 ORACLES = {
+    "claim_checks": f"""
+WITH q AS (SELECT doc_id, substr(text, 21, 60) AS quote FROM documents WHERE length(text) >= 100),
+c AS (SELECT doc_id * 2 AS id, doc_id AS source, quote FROM q UNION ALL SELECT doc_id * 2 + 1, doc_id + 1, quote FROM q)
+SELECT id, coalesce(length(quote) BETWEEN 12 AND 1000 AND NOT regexp_matches(quote, '{text.INSTRUCTION}')
+  AND contains({_ONE_BLANK.format(x="d.text")}, {_ONE_BLANK.format(x="quote")}), false) AS accepted
+FROM c LEFT JOIN documents d ON d.doc_id = c.source""",
+    "follow_up_questions": f"""
+WITH r AS (SELECT doc_id, source || '/' || (doc_id // 50) AS talk, string_split(text, '.')[1] AS query FROM documents WHERE source IS NOT NULL AND length(text) > 0),
+m AS (SELECT *, regexp_matches(query, '{text.FOLLOW_UP}') AS back FROM r),
+w AS (SELECT *, coalesce(last_value(CASE WHEN NOT back THEN query END IGNORE NULLS) OVER f, first_value(query) OVER f) AS anchor, last_value(query) OVER f AS prev, count(*) OVER f AS n FROM m
+  WINDOW f AS (PARTITION BY talk ORDER BY doc_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, 'Earlier questions: ' || anchor || CASE WHEN prev <> anchor THEN ' / ' || prev ELSE '' END || chr(10) || 'Current question: ' || query AS led FROM w),
+o AS (SELECT doc_id, CASE WHEN back AND n > 0 THEN substr(led, greatest(1, length(led) - 1999)) ELSE trim(query) END AS x FROM l)
+SELECT doc_id, length(x) AS chars, sha256(x) AS digest FROM o""",
     "whitespace_normalised": f"SELECT doc_id, length({_CLEAN}) AS chars, sha256({_CLEAN}) AS digest FROM documents WHERE text IS NOT NULL",
     "line_range_blocks": r"""
 WITH l AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n$', ''), chr(10)) AS lines FROM documents WHERE length(text) > 0),
