@@ -21,18 +21,22 @@ def normal_source(source: Column) -> Column:
 
 
 def ranked(records: DataFrame, key: str) -> DataFrame:
-    """``records`` (``source``, ``tokens``, ``key``) with ``rank``, from 1 within the source by size, then key.
+    """``records`` (``source``, ``tokens``, ``key``) with ``rank``, from 1 within the source by size, then key. Records
+    without a source are ranked among themselves. Columns other than these three are ignored.
 
     No window runs over a whole source. Rows are range-partitioned by (source, size, key), so that each partition holds
     a stretch of one or few sources; a row's rank is its number in the stretch plus the rows of the source before it,
     which come from a table of one row for each partition and source in it.
     """
-    stretches = durable(records.repartitionByRange("source", "tokens", key).withColumn("_part", F.spark_partition_id()))
+    # Equal rows are told apart by where they were read, so that even very many of them don't share one stretch.
+    rows = records.select(key, "source", "tokens").withColumn("_row", F.monotonically_increasing_id())
+    stretches = durable(rows.repartitionByRange("source", "tokens", key, "_row").drop("_row").withColumn("_part", F.spark_partition_id()))
     counts = stretches.groupBy("source", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("source", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = counts.select(F.col("source").alias("_source"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("source", "_part").orderBy("tokens", key))
-    return stretches.withColumn("_inside", inside).join(counts, ["source", "_part"]).select(key, "source", "tokens", (F.col("_before") + F.col("_inside")).alias("rank"))
+    joined = stretches.withColumn("_inside", inside).join(counts, (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_source")))
+    return joined.select(key, "source", "tokens", (F.col("_before") + F.col("_inside")).alias("rank"))
 
 
 def plan(ranks: DataFrame, targets: DataFrame, all_tokens: int, seed: int = 0) -> DataFrame:

@@ -85,10 +85,9 @@ def pack(
     budgets, give no rows. Columns other than the key and the size are ignored.
 
     Items are spread over ``shards`` by a hash of their key and size, independently of Spark's partitioning, and taken in
-    the order of that hash; each shard and budget is packed on its own by one task, which holds ``places`` open
+    the order of that hash; repeated rows are counted first and numbered, so that they are spread too. Each shard and budget is packed on its own by one task, which holds ``places`` open
     containers. Choose ``shards`` so that each has about ``SHARD_ITEMS`` items: see ``shards_for``. The unused space
-    that the shards add is at most ``places`` containers each. A repeated hot key is no trouble unless it is one key
-    for very many rows.
+    that the shards add is at most ``places`` containers each.
     """
     for budget, capacity, separator in budgets:
         if capacity <= separator:
@@ -106,9 +105,10 @@ def pack(
         ).astype({"budget_id": "int32", "piece_no": "int32"})
 
     each = F.explode(F.array(*[F.struct(*[F.lit(int(x)).alias(n) for x, n in zip(b, "ics")]) for b in budgets]))
+    counted = items.filter(F.col(tokens) > 0).groupBy(F.col(key).alias("_key"), F.col(tokens).cast("long").alias("_size")).agg(F.count("*").alias("_n"))
     return (
-        items.filter(F.col(tokens) > 0)
-        .select(F.col(key).alias("_key"), F.col(tokens).cast("long").alias("_size"), F.xxhash64(F.col(key), F.col(tokens)).alias("_hash"))
+        counted.select("_key", "_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_i"))
+        .select("_key", "_size", F.xxhash64("_key", "_size", "_i").alias("_hash"))
         .select("*", each.alias("_b"))
         .groupBy(F.col("_b.i").alias("_i"), F.col("_b.c").alias("_c"), F.col("_b.s").alias("_s"), F.pmod(F.shiftright("_hash", 7), F.lit(shards)).alias("_shard"))
         .applyInPandas(place, schema)

@@ -23,6 +23,7 @@ def test_ranks_and_shares(spark):
     by = defaultdict(list)
     for r in ranks.collect():
         by[r.source].append((r.rank, r.tokens, r.doc_id))
+    assert sum(map(len, by.values())) == len(rows) and None in by
     for own in by.values():
         own.sort()
         assert [r for r, *_ in own] == list(range(1, len(own) + 1)) and [x[1:] for x in own] == sorted(x[1:] for x in own)
