@@ -29,6 +29,8 @@ LEAST = 4
 #: A word or pair of the vocabulary is at least this share of all: so there are at most a million of each.
 SHARE = 1e-6
 LEAST_PAGES = 3
+#: A running line stands on at least this share of its document's pages: in a long document, short last lines recur by chance.
+RUNNING_SHARE = 0.1
 BREAKS = "-‐‑­¬"
 
 _WORD = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)*")
@@ -209,10 +211,11 @@ def edge_lines(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, "id long, doc string, page int, side string, depth int, line_no int, key string, values array<int>")
 
 
-def furniture(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+def furniture(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = RUNNING_SHARE) -> DataFrame:
     """``id`` and ``marks``: the outermost lines of a page that are a ``header`` or ``page_number``.
 
-    A line runs through its document if its key stands on that side of at least ``least_pages`` pages. A line with only a
+    A line runs through its document if its key stands on that side of at least ``least_pages`` pages and of that
+    ``share`` of all. A line with only a
     number is the page's if, over the document, numbers on that side keep one distance from the page's place (numbers
     below 1 being written as 1); a single such line must be the page's place itself. Grouping is by document and key
     and reduces before the shuffle, so a document of very many pages is no hot group.
@@ -220,6 +223,8 @@ def furniture(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     edges = durable(edge_lines(pages))
     plain = edges.filter((F.size("values") == 0) & (F.length("key") > 1))
     runs = plain.groupBy("doc", "side", "key").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= least_pages)
+    whole = edges.groupBy("doc").agg(F.count_distinct("page").alias("all_pages"))
+    runs = runs.join(whole, "doc").filter(F.col("pages") >= F.lit(share) * F.col("all_pages"))
     headers = plain.join(runs.select("doc", "side", "key"), ["doc", "side", "key"], "left_semi").select("id", "side", "depth", "line_no", F.lit("header").alias("mark"))
     numbers = edges.filter("page is not null").withColumn("value", F.explode("values")).withColumn("offset", F.col("value") - F.col("page"))
     steps = numbers.groupBy("doc", "side", "offset").agg(F.count_distinct("page").alias("pages"))
