@@ -165,4 +165,23 @@ WITH texts AS (
   WHERE json_valid(evidence) AND json_extract_string(evidence, '$.text') IS NOT NULL
 )
 """
-ORACLES = {"p1_found": _TEXTS.replace("SELECT DISTINCT rowid,", 'SELECT DISTINCT chunks."rowid" AS rowid,') + "SELECT DISTINCT rowid FROM texts WHERE length(text) > 3500"}
+_SPANS = """
+WITH w AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h
+  FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM documents WHERE length(text) >= 200))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id
+"""
+_ALIKE = (
+    _TEXTS.replace("SELECT DISTINCT rowid,", 'SELECT DISTINCT chunks."rowid" AS rid,')
+    + """
+, words AS (SELECT rid, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM texts),
+shingles AS (SELECT DISTINCT rid, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM words WHERE len(w) >= 20),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+joint AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid < b.rid GROUP BY a.rid, b.rid)
+SELECT x AS rowid_a, y AS rowid_b FROM joint JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y WHERE c * 10 >= 7 * (p.n + q.n - c)
+"""
+)
+ORACLES = {
+    "p1_found": _TEXTS.replace("SELECT DISTINCT rowid,", 'SELECT DISTINCT chunks."rowid" AS rowid,') + "SELECT DISTINCT rowid FROM texts WHERE length(text) > 3500",
+    "p5_found": _ALIKE,
+    "p8_found": _SPANS,
+}
