@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import paths
 from lectern.functions.text import fold_ascii, words
+from lectern.session import durable
 
 #: What sources can be filtered by, and of these the ones that are looked for inside the value.
 FILTERS = ("course", "term", "content_type", "lecturer", "folder", "file_type", "review")
@@ -85,8 +86,9 @@ def bm25(records: DataFrame, key: str, queries: dict[str, Sequence[str]], weight
     of the record. Corpus statistics cover all records of ``records``, whatever is filtered later. Terms that are in more
     than half of the records keep a tiny positive weight. Null fields are empty; no records give no rows.
 
-    One pass: each record is reduced to its length and the counts of the few query terms, so no postings are shuffled;
-    the statistics are sums over that, joined back as single rows.
+    One pass over the texts: each record is reduced to its length and the counts of the few query terms, which are
+    written down; repeated rows of a key (which are equal) count once, and are dropped only then. No text or posting is
+    shuffled. The statistics are sums over the counts, joined back as a single row.
     """
     terms = sorted({t for ts in queries.values() for t in ts})
     if not terms:
@@ -102,7 +104,7 @@ def bm25(records: DataFrame, key: str, queries: dict[str, Sequence[str]], weight
         return F.size(F.filter(field, lambda w: w == F.lit(term)))
 
     counts = F.array(*[sum((F.lit(float(v)) * often(f"w_{f}", t) for f, v in weights.items()), F.lit(0.0)) for t in terms])
-    counted = kept.select(key, "size", F.when(sum((F.size(f"w_{f}") for f in weights), F.lit(0)) > 0, counts).alias("tf"))
+    counted = durable(kept.select(key, "size", F.when(sum((F.size(f"w_{f}") for f in weights), F.lit(0)) > 0, counts).alias("tf")).dropDuplicates([key]))
     totals = [F.count("*").alias("records"), F.avg("size").alias("mean_size"), *[F.sum(F.when(F.get("tf", F.lit(i)) > 0, 1).otherwise(0)).alias(f"df_{i}") for i in range(len(terms))]]
     corpus = counted.agg(*totals)  # one row
     joined = counted.filter("tf is not null").join(F.broadcast(corpus), F.lit(True))

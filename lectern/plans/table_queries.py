@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.numbers import iso_date, number
 from lectern.operators import search, structured, windows
-from lectern.plans.text_queries import _CHUNKS, _bm25_sql, chunk_rows, documents
+from lectern.plans.text_queries import _CHUNKS, _bm25_sql, chunk_rows, documents, once
 from lectern.sources.tables import table
 from lectern.streaming.ingest import windows_of_files
 
@@ -119,8 +119,9 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = chunk_rows(spark, folder).select("rowid", "document_id", "locator_type", "locator_value", F.lower("e_text").alias("text"))
     lexical = search.ranked(search.bm25(rows, "rowid", {"q": TERMS}, {"text": 1.0}), [], "score", "rowid", 200)
     semantic = search.ranked(_semantic(spark, folder).withColumnRenamed("rid", "rowid"), [], "cosine", "rowid", 200)
-    sizes = rows.groupBy("document_id").agg(F.count("*").alias("size"))
-    fused = search.fused(lexical, semantic, "rowid").join(rows.drop("text"), "rowid").join(sizes, "document_id")
+    places = once(rows.drop("text"))
+    sizes = places.groupBy("document_id").agg(F.count("*").alias("size"))
+    fused = search.fused(lexical, semantic, "rowid").join(places, "rowid").join(sizes, "document_id")
     top = search.diversified(fused, "rowid", "document_id", ["locator_type", "locator_value"], "size", 10)
     return top.select("rowid", "document_id", "lexical_rank", "semantic_rank", F.round("score", 8).alias("score"))
 

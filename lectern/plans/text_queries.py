@@ -30,9 +30,15 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_rows(spark: SparkSession, folder: str, *fields: str) -> DataFrame:
-    """Each chunk with a text once: ``rowid``, its columns, and the evidence fields as ``e_...``."""
+    """Chunks with a text: ``rowid``, columns, and the evidence fields as ``e_...``. Rows delivered again are still there:
+    a query drops them with ``once`` where its rows are narrow, so that texts aren't shuffled for it."""
     rows = with_evidence(table(spark, folder, "chunks"), *fields)
-    return rows.select("rowid", "document_id", "locator_type", "locator_value", *[F.col(f"e.{f}").alias(f"e_{f}") for f in ("text", *fields)]).dropDuplicates(["rowid"])
+    return rows.select("rowid", "document_id", "locator_type", "locator_value", *[F.col(f"e.{f}").alias(f"e_{f}") for f in ("text", *fields)])
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """Each chunk once; rows of one ``rowid`` are equal."""
+    return rows.dropDuplicates(["rowid"])
 
 
 def whitespace_normalised(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,7 +93,7 @@ def header_units(spark: SparkSession, folder: str) -> DataFrame:
 
 def ledger_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the delimited tables within chunks, by year: how many, and count, mean and bounds of the closing value."""
-    lines = chunk_rows(spark, folder).filter("locator_type = 'line_range'").select(F.explode(F.split("e_text", "\n")).alias("line"))
+    lines = once(chunk_rows(spark, folder).filter("locator_type = 'line_range'").select("rowid", "e_text")).select(F.explode(F.split("e_text", "\n")).alias("line"))
     cells = lines.select(F.split("line", ",").alias("c")).filter((F.size("c") == 4) & F.get("c", F.lit(0)).rlike(r"^\d{4}-\d{2}-\d{2}$"))
     rows = cells.select(F.substring(F.get("c", F.lit(0)), 1, 4).alias("year"), F.get("c", F.lit(2)).try_cast("double").alias("close"))
     return rows.groupBy("year").agg(F.count("*").alias("n"), F.count("close").alias("numeric"), F.round(F.avg("close"), 6).alias("mean_close"), F.min("close").alias("low"), F.max("close").alias("high"))
@@ -95,7 +101,7 @@ def ledger_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 def phrase_filter(spark: SparkSession, folder: str) -> DataFrame:
     found = search.literal_phrase("Must Be Tested Against", "e_text", "e_source_path")
-    return chunk_rows(spark, folder, "source_path").filter(found).select("rowid", "document_id")
+    return once(chunk_rows(spark, folder, "source_path").filter(found).select("rowid", "document_id"))
 
 
 def quotations(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +118,7 @@ def excerpts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def locator_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = chunk_rows(spark, folder).select("locator_type", F.length("e_text").alias("chars"))
+    rows = once(chunk_rows(spark, folder).select("rowid", "locator_type", F.length("e_text").alias("chars")))
     return rows.groupBy("locator_type").agg(F.count("*").alias("chunks"), F.sum("chars").alias("chars"), F.max("chars").alias("longest"))
 
 
@@ -121,11 +127,12 @@ def largest_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recognition_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.quality(chunk_rows(spark, folder, "ocr_confidence").filter("e_ocr_confidence is not null"), "document_id", "e_ocr_confidence")
+    rows = chunk_rows(spark, folder, "ocr_confidence").filter("e_ocr_confidence is not null")
+    return reports.quality(once(rows.select("rowid", "document_id", "e_ocr_confidence")), "document_id", "e_ocr_confidence")
 
 
 def citations(spark: SparkSession, folder: str) -> DataFrame:
-    rows = chunk_rows(spark, folder, "source_path").filter("e_source_path is not null")
+    rows = once(chunk_rows(spark, folder, "source_path").filter("e_source_path is not null").drop("e_text"))
     return rows.select("rowid", search.citation(F.col("e_source_path"), F.col("locator_type"), F.col("locator_value")).alias("citation"))
 
 
@@ -155,8 +162,9 @@ def filtered_bm25(spark: SparkSession, folder: str) -> DataFrame:
     rows = _searched(spark, folder)
     allowed = search.matching_sources(last_sources(spark, folder), {"content_type": ["lecture", "reading"], "review": "not_reviewed"}).select("document_id").distinct()
     scores = search.bm25(rows, "rowid", {"measure": TERMS["measure"]}).select("rowid", "score")
-    eligible = rows.select("rowid", "document_id", "locator_type", "locator_value").join(allowed, "document_id", "left_semi")
-    sizes = rows.groupBy("document_id").agg(F.count("*").alias("size"))
+    places = once(rows.select("rowid", "document_id", "locator_type", "locator_value"))
+    eligible = places.join(allowed, "document_id", "left_semi")
+    sizes = places.groupBy("document_id").agg(F.count("*").alias("size"))
     best = search.ranked(eligible.join(scores, "rowid"), [], "score", "rowid", 200).join(sizes, "document_id")
     top = search.diversified(best, "rowid", "document_id", ["locator_type", "locator_value"], "size", 10)
     named = with_evidence(table(spark, folder, "chunks"), "source_path").select("rowid", F.col("e.source_path").alias("path"))
