@@ -29,7 +29,9 @@ LEAST = 4
 #: A word or pair of the vocabulary is at least this share of all: so there are at most a million of each.
 SHARE = 1e-6
 LEAST_PAGES = 3
-#: A running line stands on at least this share of its document's pages: in a long document, short last lines recur by chance.
+#: Signs that tell a running line from a last line that recurs by chance, none of which a longer document can take away:
+#: ``LEAST_PAGES`` of its pages lie within so many; it stands apart by a blank line; or it is on this share of all pages.
+RUN_PAGES = 10
 RUNNING_SHARE = 0.1
 BREAKS = "-‐‑­¬"
 
@@ -192,7 +194,8 @@ def number_line(line: str) -> list[int]:
 
 def edge_lines(pages: DataFrame) -> DataFrame:
     """The two outermost lines at the top and at the bottom of each page: ``id``, ``doc``, ``page``, ``side``, ``depth``,
-    ``line_no``, ``key``, and the possible ``values`` where the line holds only a number."""
+    ``line_no``, ``key``, whether a blank line (or nothing) parts it from the rest (``apart``), and the possible ``values``
+    where the line holds only a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,29 +205,35 @@ def edge_lines(pages: DataFrame) -> DataFrame:
                 filled = [i for i, line in enumerate(lines) if line.strip()]
                 for side, order in (("top", filled[:2]), ("bottom", filled[:-3:-1])):
                     for depth, i in enumerate(order):
-                        row = (ident, doc, page, side, depth, i + 1, line_key(lines[i]), number_line(lines[i]))
+                        inner = i + 1 if side == "top" else i - 1
+                        apart = not (0 <= inner < len(lines) and lines[inner].strip())
+                        row = (ident, doc, page, side, depth, i + 1, line_key(lines[i]), apart, number_line(lines[i]))
                         for name, value in zip(out, row):
                             out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    schema = pa.schema([("id", pa.int64()), ("doc", pa.string()), ("page", pa.int32()), ("side", pa.string()), ("depth", pa.int32()), ("line_no", pa.int32()), ("key", pa.string()), ("values", pa.list_(pa.int32()))])
-    return pages.mapInArrow(run, "id long, doc string, page int, side string, depth int, line_no int, key string, values array<int>")
+    schema = pa.schema([("id", pa.int64()), ("doc", pa.string()), ("page", pa.int32()), ("side", pa.string()), ("depth", pa.int32()), ("line_no", pa.int32()), ("key", pa.string()), ("apart", pa.bool_()), ("values", pa.list_(pa.int32()))])
+    return pages.mapInArrow(run, "id long, doc string, page int, side string, depth int, line_no int, key string, apart boolean, values array<int>")
 
 
 def furniture(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = RUNNING_SHARE) -> DataFrame:
     """``id`` and ``marks``: the outermost lines of a page that are a ``header`` or ``page_number``.
 
-    A line runs through its document if its key stands on that side of at least ``least_pages`` pages and of that
-    ``share`` of all. A line with only a
-    number is the page's if, over the document, numbers on that side keep one distance from the page's place (numbers
+    A line runs through its document if its key stands on that side of at least ``least_pages`` pages and has one of three
+    signs: so many of them lie within ``RUN_PAGES``, half of them have it apart from the text by a blank line, or they are
+    that ``share`` of all. A line with only a number is the page's if, over the document, numbers on that side keep one distance from the page's place (numbers
     below 1 being written as 1); a single such line must be the page's place itself. Grouping is by document and key
     and reduces before the shuffle, so a document of very many pages is no hot group.
     """
     edges = durable(edge_lines(pages))
     plain = edges.filter((F.size("values") == 0) & (F.length("key") > 1))
-    runs = plain.groupBy("doc", "side", "key").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= least_pages)
+    on_page = plain.groupBy("doc", "side", "key", "page").agg(F.max("apart").alias("apart"))
+    runs = on_page.filter("page is not null").groupBy("doc", "side", "key").agg(F.array_sort(F.collect_list("page")).alias("on"), F.count_if("apart").alias("apart"))
+    runs = runs.withColumn("pages", F.size("on")).filter(F.col("pages") >= least_pages)
     whole = edges.groupBy("doc").agg(F.count_distinct("page").alias("all_pages"))
-    runs = runs.join(whole, "doc").filter(F.col("pages") >= F.lit(share) * F.col("all_pages"))
+    dense = F.exists(F.arrays_zip(F.col("on").alias("a"), F.slice("on", F.lit(least_pages), F.col("pages")).alias("b")), lambda x: x["b"] - x["a"] < RUN_PAGES)
+    signs = F.coalesce(dense, F.lit(False)) | (2 * F.col("apart") >= F.col("pages")) | (F.col("pages") >= F.lit(share) * F.col("all_pages"))
+    runs = runs.join(whole, "doc").filter(signs)
     headers = plain.join(runs.select("doc", "side", "key"), ["doc", "side", "key"], "left_semi").select("id", "side", "depth", "line_no", F.lit("header").alias("mark"))
     numbers = edges.filter("page is not null").withColumn("value", F.explode("values")).withColumn("offset", F.col("value") - F.col("page"))
     steps = numbers.groupBy("doc", "side", "offset").agg(F.count_distinct("page").alias("pages"))

@@ -99,3 +99,19 @@ def test_counts(spark):
     known = scans.vocabulary(df, least=1)
     assert known.words == {"one": 2, "two": 4} and known.compounds == {"one-two": 1}
     assert known.follows("one", "two") == 2 and known.follows("two", "one") == 1 and known.follows("two", "three") == 0
+
+
+def test_running_lines_of_long_documents(spark):
+    clean = spark.createDataFrame([("the scheme shows that the market depends on the tolerance",)] * 6, "text string")
+    pages = []
+    for n in range(1, 121):
+        own = "".join("adgkmopx"[n // 8**i % 8] for i in range(3))  # letters that aren't taken for one another
+        lines = [f"opening {own}", f"middle {own}", "the tolerance" if n in (9, 50, 93) else f"closing {own}"]
+        if 20 <= n < 24:
+            lines[:0] = ["Chapter of Audit"]
+        if n in (30, 60, 90):
+            lines += ["", "Part of Library"]
+        pages.append((n, "d", n, "\n".join(lines)))
+    df = spark.createDataFrame(pages, "rowid long, document_id string, page_number int, text string")
+    marks = {(r.id, m.line_no) for r in scans.furniture(scans.scanned_pages(df, "rowid", "document_id", "page_number", "text")).collect() for m in r.marks if m.mark == "header"}
+    assert marks == {(n, 1) for n in range(20, 24)} | {(n, 5) for n in (30, 60, 90)}
