@@ -120,6 +120,58 @@ def bm25(records: DataFrame, key: str, queries: dict[str, Sequence[str]], weight
     return joined.select(key, F.explode(F.array(*scores)).alias("s")).select("s.query", key, "s.score").filter("score > 0")
 
 
+def bm25_ranked(records: DataFrame, key: str, asked: DataFrame, weights: dict[str, float] = WEIGHTS, most: int = 5, block: int = 16384) -> DataFrame:
+    """``query``, ``key``, ``score`` and ``rank`` of the ``most`` best records for each row of ``asked`` (``query``, ``terms``).
+
+    The scores of ``bm25``, for any number of queries: terms are rows, and no query is a column. ``key`` is unique. Each
+    block of records meets each block of queries (of four times as many) in a task of its own, which gives its best for
+    each query; so all pairs that share a term are scored, and their number grows with records times queries.
+    """
+
+    def weighted(field: str, weight: float) -> Column:
+        return F.transform(words(F.coalesce(F.col(field), F.lit(""))), lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("n")))
+
+    each = F.concat(*[weighted(f, n) for f, n in weights.items()])
+    split = records.select(F.col(key).alias("key"), each.alias("w")).select("key", F.size("w").alias("size"), "w")
+    wanted = asked.select(F.explode("terms").alias("term")).distinct()
+    counts = split.select("key", "size", F.explode("w").alias("w")).groupBy("key", "size", "w.term").agg(F.sum("w.n").alias("tf"))
+    counts = durable(counts.join(wanted, "term", "left_semi"))
+    corpus = split.agg(F.count("*").alias("records"), F.avg("size").alias("mean_size"))  # one row
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    joined = counts.join(df, "term").join(F.broadcast(corpus), F.lit(True))
+    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("records") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
+    asking = asked.select("query", F.array_sort(F.array_distinct("terms")).alias("terms"))
+    across, down = max(1, -(-asking.count() // (4 * block))), max(1, -(-records.count() // block))
+    parts = joined.select("key", "term", part.alias("part"), F.pmod(F.xxhash64("key"), F.lit(down)).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("q"))
+    questions = asking.select("query", "terms", F.pmod(F.xxhash64("query"), F.lit(across)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("d"))
+
+    def meet(queries: pa.Table, own: pa.Table) -> pa.Table:
+        keys, place = np.unique(own.column("key").to_numpy(), return_inverse=True)
+        coded = own.column("term").combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy()
+        by = np.argsort(code, kind="stable")
+        place, value, first = place[by], own.column("part").to_numpy()[by], np.searchsorted(code[by], np.arange(len(coded.dictionary) + 1))
+        at = {t: (place[a:b], value[a:b]) for t, a, b in zip(coded.dictionary.to_pylist(), first, first[1:])}
+        names, found, scores = [], [], []
+        for query, terms in zip(queries.column("query").to_pylist(), queries.column("terms").to_pylist()):
+            score = np.zeros(len(keys))
+            for term in terms:
+                if term in at:
+                    score[at[term][0]] += at[term][1]
+            hit = np.flatnonzero(score)
+            if len(hit) > most:
+                hit = hit[score[hit] >= np.partition(score[hit], -most)[-most]]
+            hit = hit[np.argsort(-score[hit], kind="stable")[:most]]
+            names += [query] * len(hit)
+            found.append(keys[hit]), scores.append(score[hit])
+        cat = [np.concatenate([np.zeros(0, kind), *x]) for kind, x in ((np.int64, found), (np.float64, scores))]
+        return pa.table({"query": pa.array(names, type=pa.string()), "key": cat[0], "score": cat[1]})
+
+    best = questions.groupBy("q", "d").cogroup(parts.groupBy("q", "d")).applyInArrow(meet, "query string, key long, score double")
+    return ranked(best, ["query"], "score", "key", most).withColumnRenamed("key", key)
+
+
 def ranked(scores: DataFrame, by: Sequence[str], score: str, key: str, most: int, name: str = "rank") -> DataFrame:
     """The ``most`` best of each group with their rank from 1; ties go to the smaller key. Each task first keeps its own
     best, so a large group isn't moved whole."""
