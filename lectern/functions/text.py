@@ -82,9 +82,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def query_terms(query: Column, most: int = 32) -> Column:
-    """The distinct words of a query in search form, in order, without stop words."""
-    return F.slice(F.array_distinct(F.filter(words(query), lambda w: ~w.isin(STOP_WORDS))), 1, most)
+def query_terms(query: Column, most: int | None = 32) -> Column:
+    """The distinct words of a query in search form, in order, without stop words: the first ``most``, or all."""
+    terms = F.array_distinct(F.filter(words(query), lambda w: ~w.isin(STOP_WORDS)))
+    return terms if most is None else F.slice(terms, 1, most)
 
 
 def keywords(text: Column) -> Column:

@@ -174,7 +174,7 @@ def filtered_bm25(spark: SparkSession, folder: str) -> DataFrame:
 
 def search_form(spark: SparkSession, folder: str) -> DataFrame:
     """Terms of the titles in search form: case, accents, Greek letters and dashes don't tell them apart."""
-    rows = documents(spark, folder).filter("title is not null").select(F.explode(text.query_terms(text.search_form(F.col("title")))).alias("term"))
+    rows = documents(spark, folder).filter("title is not null").select(F.explode(text.query_terms(text.search_form(F.col("title")), most=None)).alias("term"))
     return rows.groupBy("term").agg(F.count("*").alias("titles"))
 
 
