@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRESENCE = ""
+#: As many snapshots are joined by broadcast; more are shuffled.
+SMALL_TABLE = 10_000
 
 
 def normal_path(path: Column) -> Column:
@@ -62,7 +64,8 @@ def changes(df: DataFrame, snapshot: str, key: str, fields: Sequence[str], deliv
     numbers = rows.select("_s").distinct()
     in_order = Window.orderBy("_s")
     order = numbers.select("_s", F.lead("_s").over(in_order).alias("_next"), F.lag("_s").over(in_order).alias("_before"))
-    rows = rows.join(F.broadcast(order), "_s")
+    small = numbers.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE
+    rows = rows.join(F.broadcast(order) if small else order, "_s")
 
     sides = F.array(
         F.when(F.col("_before").isNotNull(), F.struct(F.col("_s").alias("at"), F.lit(1).alias("sign"))),

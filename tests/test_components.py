@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lectern.operators.components import components
 
 
@@ -26,3 +28,8 @@ def test_shapes(spark):
     check(spark, [(0, i) for i in range(1, 200)])
     check(spark, [(rng.randrange(120), rng.randrange(120)) for _ in range(90)])
     check(spark, [])
+
+
+def test_too_few_rounds_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"), most_rounds=2)
