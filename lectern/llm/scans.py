@@ -1,10 +1,13 @@
 """Noise in text from scanned pages: finding it, and repairing pages into continuous paragraphs.
 
-1. Words and word pairs are counted over all texts that are not from scans. The frequent ones are the vocabulary.
-2. The outermost lines of each page are compared across the pages of its document: running headers and page numbers.
-3. On the other lines, a word that is not in the vocabulary gets every vocabulary word within reach by Levenshtein
-   automata over a trie; those that common confusions of characters explain are ranked by them, frequency and the words
-   around. Words broken at line ends are put together where the vocabulary knows them without a hyphen.
+1. Words and word pairs are counted over all texts that are not from scans. Those that come ``LEAST`` times or more, at any
+   size of the archive, are the vocabulary; it stays a table.
+2. The lines of each page are compared across the pages of its document: running headers and page numbers.
+3. Pages are read twice. The first reading only notes which words it asks for. The distinct ones are joined to the
+   vocabulary; those it doesn't have meet the words of about their length, which lie in tries of bounded size, and get
+   every word within reach by Levenshtein automata. The second reading has the answers: candidates are ranked by the
+   edits that they take, of which common confusions of characters weigh least, by frequency, and by the words around.
+   Words broken at line ends are put together where the vocabulary knows them without a hyphen.
 4. Furniture is left out, words are repaired, and lines flow into paragraphs.
 """
 
@@ -14,7 +17,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +25,19 @@ from pyspark.sql import functions as F
 
 from lectern.llm import lexicon
 from lectern.llm.shingles import MULTIPLIER, scramble, word_hashes
-from lectern.session import durable
+from lectern.session import durable, release
 
 LEAST = 4
-#: A word or pair of the vocabulary is at least this share of all: so there are at most a million of each.
-SHARE = 1e-6
 LEAST_PAGES = 3
-#: Signs that tell a running line from a last line that recurs by chance, none of which a longer document can take away:
-#: ``LEAST_PAGES`` of its pages lie within so many; it stands apart by a blank line; or it is on this share of all pages.
+#: Signs that tell a running line from one that recurs by chance, which no longer document can take away: ``LEAST_PAGES`` of
+#: its pages lie within so many, or half of its pages have it apart by a blank line.
 RUN_PAGES = 10
-RUNNING_SHARE = 0.1
+#: Costs of a confusion and of another edit in the score of a candidate (more in words of fewer than ``SHORT`` characters),
+#: the most that the words around can add to it, and the score from which a candidate is believed that confusions alone
+#: don't explain.
+CONFUSION, OTHER, SHORT, AROUND, BELIEVED = 4, 8, 5, 8, -6
+#: Pages that are read together, words of a trie, and unknown words that walk it in a task.
+SHEAF, TRIE_WORDS, MEET = 256, 50_000, 16_384
 BREAKS = "-‐‑­¬"
 
 _WORD = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)*")
@@ -60,97 +65,122 @@ def _pairs(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def counted(texts: DataFrame) -> DataFrame:
     """``word``, ``pair`` and ``n``: the counts of words (hyphenated ones whole and in parts) and, with a null word, of
-    hashed pairs of words. The row with neither has the number of all words."""
+    hashed pairs of words, as each task sees them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        total = 0
         for batch in batches:
             texts = [t for t in batch.column("text").to_pylist() if t]
             for t in texts:
                 found = _WORD.findall(t.lower())
-                total += len(found)
                 words.update(found)
                 for w in found:
                     if not w.isalnum():
                         words.update(_PART.findall(w))
             pair, n = np.unique(_pairs(*word_hashes(texts)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(pair), pa.string()), pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "pair", "n"])
-        names = [w.replace("‐", "-").replace("‑", "-") for w in words]
-        n = len(names)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*names, None], type=pa.string()), pa.nulls(n + 1, pa.int64()), pa.array([*words.values(), total], type=pa.int64())], names=["word", "pair", "n"]
-        )
+            if len(words) > 500_000:
+                yield listed(words)
+                words.clear()
+        yield listed(words)
+
+    def listed(words: Counter) -> pa.RecordBatch:
+        names = [_plain(w) for w in words]
+        return pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), pa.nulls(len(names), pa.int64()), pa.array(words.values(), type=pa.int64())], names=["word", "pair", "n"])
 
     return texts.select("text").mapInArrow(run, "word string, pair long, n long")
 
 
-class Vocabulary:
-    """What the pages are held against: words, hyphenated compounds, and how often words follow one another."""
-
-    def __init__(self, words: dict[str, int], pairs: np.ndarray, pair_counts: np.ndarray) -> None:
-        self.words = {w: n for w, n in words.items() if "-" not in w}
-        self.compounds = {w: n for w, n in words.items() if "-" in w}
-        self.pairs, self.pair_counts = pairs, pair_counts
-
-    @property
-    def lexicon(self) -> lexicon.Lexicon:
-        if not hasattr(self, "_lexicon"):
-            self._lexicon = lexicon.Lexicon({w: n for w, n in self.words.items() if w.isalpha()})
-            self._known: dict[str, list[tuple[str, int]]] = {}
-        return self._lexicon
-
-    def meant(self, token: str) -> list[tuple[str, int]]:
-        """``(word, confusions)`` for the vocabulary words that confusions turn into ``token``, which is not in it."""
-        trie = self.lexicon
-        if token not in self._known:
-            out = []
-            for edits in (1, 2):
-                near = trie.within(token, edits) if len(token) > 3 * edits - 2 else []
-                out = [(w, n) for w in near if (n := lexicon.misreadings(token, w, edits))]
-                if out:
-                    break
-            if len(self._known) > 200_000:
-                self._known.clear()
-            self._known[token] = out
-        return self._known[token]
+def vocabulary(texts: DataFrame, least: int = LEAST) -> DataFrame:
+    """The words and pairs that come at least ``least`` times in ``texts``: ``word`` or ``pair``, and ``n``."""
+    return durable(counted(texts).groupBy("word", "pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+
+
+def _plain(word: str) -> str:
+    return word.replace("‐", "-").replace("‑", "-")
+
+
+class Known:
+    """What a reading of pages asks for: counts of words, candidates of unknown ones, and how often words follow."""
+
+    def __init__(self, counts: dict[str, int], candidates: dict[str, list[tuple[str, int, int]]] | None = None, pairs: dict[int, int] | None = None) -> None:
+        self.counts, self.candidates, self.pairs = counts, candidates or {}, pairs or {}
+
+    def count(self, word: str) -> int:
+        return self.counts.get(_plain(word), 0)
+
+    def meant(self, token: str) -> list[tuple[str, int, int]]:
+        """``(word, confusions, others)`` of the words within reach of a token that isn't in the vocabulary."""
+        return self.candidates.get(token, [])
 
     def follows(self, left: str, right: str) -> int:
-        if not left or not right or not len(self.pairs):
-            return 0
-        hashes, first = word_hashes([f"{left} {right}"])
-        pair = _pairs(hashes, first)
-        at = np.searchsorted(self.pairs, pair[0]) if len(pair) == 1 else len(self.pairs)
-        return int(self.pair_counts[at]) if at < len(self.pairs) and self.pairs[at] == pair[0] else 0
+        pair = pair_hash(left, right)
+        return self.pairs.get(pair, 0) if pair is not None else 0
 
     def best(self, token: str, before: str, after: str) -> str | None:
-        """The likeliest word meant by ``token`` between its neighbours."""
-        options = self.meant(token)
-        if not options:
-            return None
+        """The likeliest word meant by ``token`` between its neighbours; None if no candidate is believed."""
+        top = None
+        for word, confusions, others in self.meant(token):
+            near = min(AROUND, math.log1p(self.follows(before, word)) + math.log1p(self.follows(word, after)))
+            score = near + own_score(len(token), self.count(word), confusions, others)
+            if (explained(len(token), confusions, others) or score >= BELIEVED) and (top is None or (score, word) > top):
+                top = (score, word)
+        return top and top[1]
 
-        def score(option: tuple[str, int]) -> tuple[float, str]:
-            word, confusions = option
-            near = math.log1p(self.follows(before, word)) + math.log1p(self.follows(word, after))
-            return (near + 0.5 * math.log(self.words[word]) - 4 * confusions, word)
+    def also(self, text: str) -> None:
+        """A text that a reading may come to, depending on what is known."""
 
-        return max(options, key=score)[0]
 
+def own_score(size: int, count: int, confusions: int, others: int) -> float:
+    """The score of a candidate for a token of so many characters, without the words around it."""
+    return 0.5 * math.log(max(1, count)) - (CONFUSION * confusions + OTHER * others) * max(1.0, SHORT / size)
 
-def vocabulary(texts: DataFrame, least: int = LEAST, share: float = SHARE) -> Vocabulary:
-    """The words and pairs that make up at least ``share`` of all words of ``texts`` and come at least ``least`` times.
 
-    What reaches the driver is bounded: at most 1 / ``share`` words and as many pairs.
-    """
-    sums = durable(counted(texts).groupBy("word", "pair").agg(F.sum("n").alias("n")).filter(f"n >= {least} or (word is null and pair is null)"))
-    total = (sums.filter("word is null and pair is null").agg(F.sum("n")).first()[0]) or 0
-    kept = sums.filter(F.col("n") >= max(least, math.ceil(share * total))).toArrow()
-    words, pairs, n = kept.column("word").to_pylist(), kept.column("pair"), kept.column("n").to_numpy()
-    named = {w: int(c) for w, c in zip(words, n) if w is not None}
-    is_pair = np.array([p is not None for p in pairs.to_pylist()], dtype=bool)
-    hashed = pairs.drop_null().to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hashed)
-    return Vocabulary(named, hashed[order], n[is_pair][order])
+def explained(size: int, confusions: int, others: int) -> bool:
+    """Whether confusions alone explain a token, and no more than half of it."""
+    return not others and 2 * confusions <= size
+
+
+class Asked(Known):
+    """Notes which words a reading asks for, and knows nothing."""
+
+    def __init__(self) -> None:
+        super().__init__({})
+        self.words: set[str] = set()
+        self.unknown: set[str] = set()
+
+    def count(self, word: str) -> int:
+        self.words.add(_plain(word))
+        return 0
+
+    def meant(self, token: str) -> list[tuple[str, int, int]]:
+        self.unknown.add(token)
+        return []
+
+    def also(self, text: str) -> None:
+        _repaired(text, self, ("", ""))
+
+
+class Open(Known):
+    """Notes the places where the words around decide between candidates: token, the word before and the one after."""
+
+    def __init__(self, *known) -> None:
+        super().__init__(*known)
+        self.places: set[tuple[str, str, str]] = set()
+
+    def best(self, token: str, before: str, after: str) -> str | None:
+        options = self.meant(token)
+        if len(options) > 1 or options and not explained(len(token), *options[0][1:]):
+            self.places.add((token, before, after))
+        return super().best(token, before, after)
+
+
+def pair_hash(left: str, right: str) -> int | None:
+    """The hash of two words in a row, as ``counted`` has it; None if they aren't just two."""
+    if not left or not right:
+        return None
+    pair = _pairs(*word_hashes([f"{left} {right}"]))
+    return int(pair.view(np.int64)[0]) if len(pair) == 1 else None
 
 
 # 2. Furniture
@@ -192,10 +222,11 @@ def number_line(line: str) -> list[int]:
     return page_values(match[1]) if match else []
 
 
-def edge_lines(pages: DataFrame) -> DataFrame:
-    """The two outermost lines at the top and at the bottom of each page: ``id``, ``doc``, ``page``, ``side``, ``depth``,
-    ``line_no``, ``key``, whether a blank line (or nothing) parts it from the rest (``apart``), and the possible ``values``
-    where the line holds only a number."""
+def edge_lines(pages: DataFrame, outer: bool) -> DataFrame:
+    """The two outermost lines at either end of each page, or else those within: of its upper half from the top and the
+    others from the bottom. ``id``, ``page``, ``side``, ``depth``, ``line_no``, ``run`` (a hash of document, side and the line's
+    key, within also of its depth; null for a line without a key), ``of`` (a hash of document and side), whether a blank
+    line (or nothing) parts it from the inner ones (``apart``), and the possible ``values`` of a line that holds only a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,81 +234,104 @@ def edge_lines(pages: DataFrame) -> DataFrame:
             for ident, doc, page, text in zip(*(batch.column(c).to_pylist() for c in ("id", "doc", "page", "text"))):
                 lines = text.split("\n")
                 filled = [i for i, line in enumerate(lines) if line.strip()]
-                for side, order in (("top", filled[:2]), ("bottom", filled[:-3:-1])):
+                half = -(-len(filled) // 2)
+                sides = (filled[:2], filled[:-3:-1]) if outer else (filled[:half], filled[: half - 1 if half else None : -1])
+                for side, order in zip(("top", "bottom"), sides):
                     for depth, i in enumerate(order):
+                        if (depth < 2) != outer:
+                            continue
                         inner = i + 1 if side == "top" else i - 1
                         apart = not (0 <= inner < len(lines) and lines[inner].strip())
-                        row = (ident, doc, page, side, depth, i + 1, line_key(lines[i]), apart, number_line(lines[i]))
+                        values = number_line(lines[i])
+                        key = line_key(lines[i])
+                        row = (ident, doc, page, side, depth, i + 1, key if len(key) > 1 and not values else None, apart, values)
                         for name, value in zip(out, row):
                             out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("id", pa.int64()), ("doc", pa.string()), ("page", pa.int32()), ("side", pa.string()), ("depth", pa.int32()), ("line_no", pa.int32()), ("key", pa.string()), ("apart", pa.bool_()), ("values", pa.list_(pa.int32()))])
-    return pages.mapInArrow(run, "id long, doc string, page int, side string, depth int, line_no int, key string, apart boolean, values array<int>")
-
-
-def furniture(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = RUNNING_SHARE) -> DataFrame:
-    """``id`` and ``marks``: the outermost lines of a page that are a ``header`` or ``page_number``.
-
-    A line runs through its document if its key stands on that side of at least ``least_pages`` pages and has one of three
-    signs: so many of them lie within ``RUN_PAGES``, half of them have it apart from the text by a blank line, or they are
-    that ``share`` of all. A line with only a number is the page's if, over the document, numbers on that side keep one distance from the page's place (numbers
-    below 1 being written as 1); a single such line must be the page's place itself. Grouping is by document and key
-    and reduces before the shuffle, so a document of very many pages is no hot group.
+    lines = pages.filter("doc is not null").mapInArrow(run, "id long, doc string, page int, side string, depth int, line_no int, key string, apart boolean, values array<int>")
+    hashed = F.when(F.col("key").isNotNull(), F.xxhash64("doc", "side", "key", F.greatest("depth", F.lit(1))))
+    return lines.select("id", "page", "side", "depth", "line_no", hashed.alias("run"), F.xxhash64("doc", "side").alias("of"), "apart", "values")
+
+
+def furniture(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """``id`` and ``marks``: the lines of a page that are a ``header`` or ``page_number``, were all lines outside them furniture
+    too (see ``page_marks``).
+
+    A line runs through its document if its key stands on that side of at least ``least_pages`` pages and has one of two
+    signs: so many of them lie within ``RUN_PAGES``, or half of them have it apart from the text by a blank line. Pages
+    without a number are told apart by their id, and have the second sign only. A line with only a number is the page's
+    if, over the document, numbers on that side keep one distance from the page's place (numbers below 1 being written
+    as 1); a single such line must be the page's place itself. Grouping is by document and key and reduces before the
+    shuffle, so a document of very many pages is no hot group. Lines within are looked at only on pages whose two outer
+    lines on a side are furniture.
     """
-    edges = durable(edge_lines(pages))
-    plain = edges.filter((F.size("values") == 0) & (F.length("key") > 1))
-    on_page = plain.groupBy("doc", "side", "key", "page").agg(F.max("apart").alias("apart"))
-    runs = on_page.filter("page is not null").groupBy("doc", "side", "key").agg(F.array_sort(F.collect_list("page")).alias("on"), F.count_if("apart").alias("apart"))
-    runs = runs.withColumn("pages", F.size("on")).filter(F.col("pages") >= least_pages)
-    whole = edges.groupBy("doc").agg(F.count_distinct("page").alias("all_pages"))
-    dense = F.exists(F.arrays_zip(F.col("on").alias("a"), F.slice("on", F.lit(least_pages), F.col("pages")).alias("b")), lambda x: x["b"] - x["a"] < RUN_PAGES)
-    signs = F.coalesce(dense, F.lit(False)) | (2 * F.col("apart") >= F.col("pages")) | (F.col("pages") >= F.lit(share) * F.col("all_pages"))
-    runs = runs.join(whole, "doc").filter(signs)
-    headers = plain.join(runs.select("doc", "side", "key"), ["doc", "side", "key"], "left_semi").select("id", "side", "depth", "line_no", F.lit("header").alias("mark"))
-    numbers = edges.filter("page is not null").withColumn("value", F.explode("values")).withColumn("offset", F.col("value") - F.col("page"))
-    steps = numbers.groupBy("doc", "side", "offset").agg(F.count_distinct("page").alias("pages"))
-    steps = steps.filter("pages > 1 or offset = 0").groupBy("doc", "side").agg(F.max_by("offset", F.struct("pages", -F.abs("offset"))).alias("step"))
-    of_page = numbers.join(steps, ["doc", "side"]).filter(F.col("value") == F.greatest(F.lit(1), F.col("page") + F.col("step")))
+    outer = _marked(pages, True, least_pages)
+    two = outer.groupBy("id", "side").agg(F.count_distinct("depth").alias("n")).filter("n = 2").select("id").distinct()
+    within = _marked(pages.join(two, "id", "left_semi"), False, least_pages)
+    marks = durable(outer.union(within).groupBy("id").agg(F.collect_list(F.struct("side", "depth", "line_no", "mark")).alias("marks")))
+    release(outer, within)
+    return marks
+
+
+def _marked(pages: DataFrame, outer: bool, least_pages: int) -> DataFrame:
+    """``id``, ``side``, ``depth``, ``line_no`` and ``mark`` of the furniture among the outer lines, or among the inner ones."""
+    edges = durable(edge_lines(pages, outer))
+    plain = edges.filter("run is not null")
+    on_page = plain.groupBy("run", "id").agg(F.max("apart").alias("apart"), F.first("page").alias("page"))
+    runs = on_page.groupBy("run").agg(F.count("*").alias("pages"), F.count_if("apart").alias("apart")).filter(F.col("pages") >= least_pages)
+    # Any RUN_PAGES pages in a row lie in one of the blocks of twice as many, so that no group is larger than a block.
+    block = F.floor(F.col("page") / RUN_PAGES)
+    in_blocks = on_page.filter("page is not null").join(runs.select("run"), "run", "left_semi").select("run", "page", F.explode(F.array(block, block - 1)).alias("block"))
+    on = F.array_sort(F.collect_set("page"))
+    near = F.exists(F.arrays_zip(F.col("on").alias("a"), F.slice("on", F.lit(least_pages), F.size("on")).alias("b")), lambda x: x["b"] - x["a"] < RUN_PAGES)
+    dense = in_blocks.groupBy("run", "block").agg(on.alias("on")).filter(near).select("run")
+    runs = runs.filter(2 * F.col("apart") >= F.col("pages")).select("run").union(dense).distinct()
+    headers = plain.join(runs.select("run"), "run", "left_semi").select("id", "side", "depth", "line_no", F.lit("header").alias("mark"))
+    numbers = edges.filter("page is not null and size(values) > 0").withColumn("value", F.explode("values")).withColumn("offset", F.col("value") - F.col("page"))
+    steps = numbers.groupBy("of", "offset").agg(F.count_distinct("page").alias("pages"))
+    steps = steps.filter("pages > 1 or offset = 0").groupBy("of").agg(F.max_by("offset", F.struct("pages", -F.abs("offset"))).alias("step"))
+    of_page = numbers.join(steps, "of").filter(F.col("value") == F.greatest(F.lit(1), F.col("page") + F.col("step")))
     marks = headers.union(of_page.select("id", "side", "depth", "line_no", F.lit("page_number").alias("mark")))
-    return marks.groupBy("id").agg(F.collect_list(F.struct("side", "depth", "line_no", "mark")).alias("marks"))
+    marks = durable(marks)
+    release(edges)
+    return marks
 
 
 def page_marks(marks: list[dict] | None) -> dict[int, str]:
-    """Line numbers with their mark. The second line from an edge counts only where the first is furniture too."""
+    """Line numbers with their mark. A line counts only where every line outside it is furniture too."""
     by = {(m["side"], m["depth"]): m for m in marks or ()}
     out = {}
     for side in ("top", "bottom"):
-        for depth in (0, 1):
-            mark = by.get((side, depth))
-            if mark is None:
-                break
+        depth = 0
+        while mark := by.get((side, depth)):
             out[mark["line_no"]] = mark["mark"]
+            depth += 1
     return out
 
 
 # 3. Lines
 
 
-def joined_word(first: str, second: str, longer: str, known: Vocabulary) -> tuple[bool, str]:
+def joined_word(first: str, second: str, longer: str, known: Known) -> tuple[bool, str]:
     """Whether a break between ``first`` and ``second`` parts a word that is written without a hyphen, and the whole.
     ``longer`` is ``second`` with what follows it after a hyphen of its own."""
     head, _, tail = first.rpartition("-") if "-" in first else ("", "", first)
     low_tail, low_second = tail.lower(), second.lower()
     whole, compound = low_tail + low_second, f"{first.lower()}-{low_second}"
-    one, two = known.words.get(whole, 0), max(known.compounds.get(compound, 0), known.compounds.get(f"{first}-{longer}".lower(), 0))
+    one, two = known.count(whole), max(known.count(compound), known.count(f"{first}-{longer}".lower()))
     if head and not two:
-        two = known.compounds.get(f"{low_tail}-{low_second}", 0)
+        two = known.count(f"{low_tail}-{low_second}")
     if not one and not two:
-        one = max((known.words[w] for w, _ in known.meant(whole)), default=0)
-    if one or two:
-        broken = one >= two
-    else:
-        broken = not (low_tail in known.words and low_second in known.words)
+        one = max((known.count(w) for w, _, others in known.meant(whole) if not others), default=0)
+    halves = known.count(low_tail), known.count(low_second)
+    known.also(f"{first}-{second}")
+    broken = one >= two if one or two else not all(halves)
     return broken, f"{head}-{tail}{second}" if broken and head else f"{tail}{second}" if broken else f"{first}-{second}"
 
 
-def read_page(text: str, marks: dict[int, str], following: str, known: Vocabulary) -> tuple[list[tuple[int, str]], str]:
+def read_page(text: str, marks: dict[int, str], following: str, known: Known) -> tuple[list[tuple[int, str]], str]:
     """``(defects, repaired)`` of a page: line numbers with their defect, and the text as continuous paragraphs.
 
     ``following`` is the first word of the next page, for a word broken at the end of this one. A page without any word
@@ -309,7 +363,7 @@ def read_page(text: str, marks: dict[int, str], following: str, known: Vocabular
                 longer = _FIRST_WHOLE.match(following_line)[1].replace("‐", "-").replace("‑", "-")
                 is_broken, whole = joined_word(first, second, longer, known)
             else:
-                is_broken, whole = first.lower().rpartition("-")[2] not in known.words, first
+                is_broken, whole = not known.count(first.lower().rpartition("-")[2]), first
             if is_broken:
                 defects.append((number, "hyphenation"))
             if i in follower and second:
@@ -339,14 +393,14 @@ def read_page(text: str, marks: dict[int, str], following: str, known: Vocabular
     return sorted(set(defects)), "\n\n".join(p.strip() for p in paragraphs if p.strip())
 
 
-def _repaired(line: str, known: Vocabulary, around: tuple[str, str] | None = None) -> tuple[str, bool]:
+def _repaired(line: str, known: Known, around: tuple[str, str] | None = None) -> tuple[str, bool]:
     """The line with what was meant in place of misread words and numbers, and whether there was any."""
     tokens = list(_TOKEN.finditer(line))
     out, at, misread = [], 0, False
     for k, match in enumerate(tokens):
         token = match[0]
         low = token.lower()
-        if low in known.words or low in known.compounds or token.isdigit():
+        if known.count(low) or token.isdigit():
             continue
         number = lexicon.misread_number(token)
         if number is not None:
@@ -362,12 +416,12 @@ def _repaired(line: str, known: Vocabulary, around: tuple[str, str] | None = Non
     return "".join(out) + line[at:], misread
 
 
-def _meant(piece: str, before: str, after: str, known: Vocabulary) -> str:
+def _meant(piece: str, before: str, after: str, known: Known) -> str:
     low = piece.lower()
-    if low in known.words or not any(c.isalpha() for c in piece):
+    if known.count(low) or not any(c.isalpha() for c in piece):
         return piece
     trimmed = low.rstrip("!$") if low.rstrip("!$|").isalpha() else low
-    if trimmed in known.words:
+    if known.count(trimmed):
         return piece
     best = known.best(low, before, after)
     if best is None:
@@ -377,17 +431,102 @@ def _meant(piece: str, before: str, after: str, known: Vocabulary) -> str:
     return best[:1].upper() + best[1:] if piece[:1].isupper() else best
 
 
-@lru_cache(maxsize=1)
-def _of(broadcast) -> Vocabulary:
-    return broadcast.value
-
-
 def scanned_pages(chunks: DataFrame, id: str, doc: str, page: str, text: str) -> DataFrame:
     """``id``, ``doc``, ``page``, ``text``: each page once."""
     slim = chunks.select(F.col(id).cast("long").alias("id"), F.col(doc).cast("string").alias("doc"), F.col(page).try_cast("int").alias("page"), F.col(text).alias("text"))
     return slim.filter("id is not null and text is not null").dropDuplicates(["id"])
 
 
+def _asked(pages: DataFrame) -> DataFrame:
+    """The words that the reading of ``pages`` asks for, once a ``sheaf``: ``token``, and whether it wants candidates if it is
+    ``unknown``."""
+
+    def run(batch: pa.Table) -> pa.Table:
+        asked = Asked()
+        for text, own, following in zip(*(batch.column(c).to_pylist() for c in ("text", "marks", "following"))):
+            read_page(text, page_marks(own), following or "", asked)
+        words = sorted(asked.words | asked.unknown)
+        sheaf = pa.array(np.full(len(words), batch.column("sheaf")[0].as_py(), np.int64))
+        return pa.table({"sheaf": sheaf, "token": pa.array(words, type=pa.string()), "unknown": pa.array([w in asked.unknown for w in words], type=pa.bool_())})
+
+    return pages.groupBy("sheaf").applyInArrow(run, "sheaf long, token string, unknown boolean")
+
+
+def candidates(tokens: DataFrame, words: DataFrame, trie_words: int = TRIE_WORDS) -> DataFrame:
+    """``token``, ``word``, ``n``, ``confusions`` and ``others`` for every word within two edits of each distinct token that
+    could be believed somewhere, with all that words around can add.
+
+    Words (``word``, ``n``) lie in tries by their length; a length with more than ``trie_words`` is cut by a hash, so that no
+    trie is larger. A token meets the tries of the lengths that two edits can reach.
+    """
+    sized = words.select("word", "n", F.length("word").alias("size"))
+    large = sized.groupBy("size").count().filter(F.col("count") > trie_words).collect()  # a row for a length of word
+    parts = F.coalesce(F.create_map(*[F.lit(x) for r in large for x in (r["size"], -(-r["count"] // trie_words))])[F.col("size")], F.lit(1)) if large else F.lit(1)
+    own = sized.select("word", "n", "size", F.pmod(F.xxhash64("word"), parts).alias("part"))
+    each = tokens.select("token", F.explode(F.sequence(F.greatest(F.lit(1), F.length("token") - lexicon.EDITS), F.length("token") + lexicon.EDITS)).alias("size"))
+    each = each.select("token", "size", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part"))
+    # Many tokens of one length are spread over tasks, each of which walks the same trie.
+    spreads = F.lit(max(1, -(-tokens.count() // MEET))).cast("long")
+    each = each.withColumn("spread", F.pmod(F.xxhash64("token"), spreads))
+    own = own.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), spreads - 1)))
+
+    def run(asking: pa.Table, having: pa.Table) -> pa.Table:
+        tokens, known = asking.column("token").to_pylist(), dict(zip(having.column("word").to_pylist(), having.column("n").to_pylist()))
+        out: list[tuple] = []
+        if tokens and known:
+            trie = lexicon.Trie(list(known))
+            t, w = (x.tolist() for x in trie.within(tokens))
+            read, meant = [tokens[i] for i in t], [trie.words[i] for i in w]
+            for token, word, confusions, others in zip(read, meant, *(x.tolist() for x in lexicon.misreadings(read, meant))):
+                if explained(len(token), confusions, others) or AROUND + own_score(len(token), known[word], confusions, others) >= BELIEVED:
+                    out.append((token, word, known[word], confusions, others))
+        return pa.table([pa.array(c, type=t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()))], names=["token", "word", "n", "confusions", "others"])
+
+    keys = ("size", "part", "spread")
+    return each.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(run, "token string, word string, n long, confusions int, others int")
+
+
+ANSWERS = {"token": "string", "word": "string", "n": "long", "confusions": "int", "others": "int", "pair": "long"}
+
+
+def _answers(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.select("sheaf", *[F.col(c) if c in names else F.lit(None).cast(t).alias(c) for c, t in ANSWERS.items()])
+
+
+def _given(answers: pa.Table) -> tuple[dict, dict, dict]:
+    """Counts of words, candidates of tokens and counts of pairs, from the answers to one sheaf."""
+    counts: dict[str, int] = {}
+    options: dict[str, list] = {}
+    pairs: dict[int, int] = {}
+    for token, word, n, confusions, others, pair in zip(*(answers.column(c).to_pylist() for c in ANSWERS)):
+        if pair is not None:
+            pairs[pair] = n
+        elif word is None:
+            counts[token] = n
+        else:
+            options.setdefault(token, []).append((word, confusions, others))
+            counts[word] = n
+    return counts, options, pairs
+
+
+def _pages(table: pa.Table) -> Iterator[tuple]:
+    return zip(*(table.column(c).to_pylist() for c in ("id", "text", "marks", "following")))
+
+
+def _wanted_pairs(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """``sheaf`` and ``pair``: the hashes of words in a row that decide between candidates."""
+
+    def run(own: pa.Table, given: pa.Table) -> pa.Table:
+        known = Open(*_given(given))
+        for _, text, marks, following in _pages(own):
+            read_page(text, page_marks(marks), following or "", known)
+        both = {p for token, before, after in known.places for word, *_ in known.meant(token) for p in ((before, word), (word, after))}
+        pairs = sorted({h for p in both if (h := pair_hash(*p)) is not None})
+        return pa.table({"sheaf": pa.array([own.column("sheaf")[0].as_py()] * len(pairs) if pairs else [], type=pa.int64()), "pair": pa.array(pairs, type=pa.int64())})
+
+    return pages.groupBy("sheaf").cogroup(answers.groupBy("sheaf")).applyInArrow(run, "sheaf long, pair long")
+
+
 def repaired_pages(pages: DataFrame, clean: DataFrame, id: str = "rowid", doc: str = "document_id", page: str = "page_number", text: str = "text", least_pages: int = LEAST_PAGES) -> DataFrame:
     """``id``, ``defects`` (array of ``line_no``, ``defect``) and ``repaired`` for every scanned page of ``pages``.
 
@@ -398,27 +537,39 @@ def repaired_pages(pages: DataFrame, clean: DataFrame, id: str = "rowid", doc: s
     knows no words: only furniture and misread numbers are found, and word breaks by soft hyphens. Very long pages are
     read whole. Extra columns are ignored.
     """
-    spark = pages.sparkSession
     every = durable(scanned_pages(pages, id, doc, page, text))
-    known = spark.sparkContext.broadcast(vocabulary(clean))
-    # The first word of the following page: an equality join, so that a document of very many pages is spread.
     marks = furniture(every, least_pages)
-    laid = durable(every.join(marks, "id", "left"))
-    starts = laid.filter("page is not null and doc is not null").select("doc", (F.col("page") - 1).alias("page"), "text", "marks")
+    # The first word of the following page: an equality join, so that a document of very many pages is spread.
+    marked = durable(every.join(marks, "id", "left"))
+    starts = marked.filter("page is not null and doc is not null").select("doc", (F.col("page") - 1).alias("page"), "text", "marks")
     starts = starts.mapInArrow(_first_words, "doc string, page int, following string").groupBy("doc", "page").agg(F.min("following").alias("following"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _of(known)
-        for batch in batches:
-            out: dict[str, list] = {"id": [], "defects": [], "repaired": []}
-            for ident, page_text, own, following in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "marks", "following"))):
-                defects, repaired = read_page(page_text, page_marks(own), following or "", words)
-                out["id"].append(ident), out["repaired"].append(repaired)
-                out["defects"].append([{"line_no": n, "defect": d} for n, d in defects])
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+    sheaves = max(1, -(-every.count() // SHEAF))
+    sheaf = F.pmod(F.xxhash64("id"), F.lit(sheaves)).alias("sheaf")
+    laid = durable(marked.join(starts, ["doc", "page"], "left").select(sheaf, "id", "text", "marks", "following"))
+    release(every, marks, marked)
+
+    known = vocabulary(clean)
+    counts = known.filter("word is not null").select("word", "n")
+    found = durable(_asked(laid).join(counts.withColumnRenamed("word", "token"), "token", "left").select("sheaf", "token", "unknown", "n"))
+    strange = durable(found.filter("unknown and n is null").select("token").distinct())
+    options = durable(candidates(strange, counts.filter(F.col("word").rlike(r"^\p{L}+$"))))
+    answers = _answers(found.filter("n is not null"), "token", "n")
+    answers = durable(answers.union(_answers(found.filter("unknown and n is null").select("sheaf", "token").join(options, "token"), "token", "word", "n", "confusions", "others")))
+    pairs = _wanted_pairs(laid, answers).join(known.filter("pair is not null").select("pair", "n"), "pair")
+    answers = answers.union(_answers(pairs, "pair", "n"))
+    release(found, strange, options)
+
+    def run(own: pa.Table, given: pa.Table) -> pa.Table:
+        words = Known(*_given(given))
+        out: dict[str, list] = {"id": [], "defects": [], "repaired": []}
+        for ident, page_text, marks, following in _pages(own):
+            defects, repaired = read_page(page_text, page_marks(marks), following or "", words)
+            out["id"].append(ident), out["repaired"].append(repaired)
+            out["defects"].append([{"line_no": n, "defect": d} for n, d in defects])
+        return pa.Table.from_pydict(out, schema=schema)
 
     schema = pa.schema([("id", pa.int64()), ("defects", pa.list_(pa.struct([("line_no", pa.int32()), ("defect", pa.string())]))), ("repaired", pa.string())])
-    return laid.join(starts, ["doc", "page"], "left").select("id", "text", "marks", "following").mapInArrow(run, "id long, defects array<struct<line_no: int, defect: string>>, repaired string")
+    return laid.groupBy("sheaf").cogroup(answers.groupBy("sheaf")).applyInArrow(run, "id long, defects array<struct<line_no: int, defect: string>>, repaired string")
 
 
 def _first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,16 +2,28 @@ import random
 from functools import lru_cache
 
 from lectern.llm import lexicon, scans
-from lectern.llm.scans import Vocabulary, line_key, number_line, read_page
-
-import numpy as np
+from lectern.llm.scans import Known, line_key, number_line, read_page
 
 WORDS = "the scheme market tolerance audit equation return kernel window shows that depends on side buy of sample hedged continuous yield for each commission library".split()
 
 
+class Vocabulary(Known):
+    """All candidates of a token, found when it is asked for."""
+
+    def meant(self, token):
+        if token not in self.candidates:
+            out = []
+            words = [w for w in self.counts if w.isalpha()]
+            for size in {len(w) for w in words}:
+                trie = lexicon.Trie([w for w in words if len(w) == size])
+                found = [trie.words[w] for w in trie.within([token])[1].tolist()]
+                out += zip(found, *(x.tolist() for x in lexicon.misreadings([token] * len(found), found)))
+            self.candidates[token] = out
+        return self.candidates[token]
+
+
 def vocabulary(**more):
-    none = np.zeros(0, np.uint64)
-    return Vocabulary({**{w: 50 for w in WORDS}, "buy-side": 20, "out-of-sample": 9, **more}, none, none)
+    return Vocabulary({**{w: 50 for w in WORDS}, "buy-side": 20, "out-of-sample": 9, **more})
 
 
 def distance(a, b):
@@ -34,23 +46,38 @@ def distance(a, b):
 def test_candidates_are_complete():
     rng = random.Random(1)
     words = {"".join(rng.choice("abcr nm".replace(" ", "")) for _ in range(rng.randrange(1, 7))) for _ in range(400)}
-    trie = lexicon.Lexicon({w: 1 for w in words})
-    for _ in range(60):
-        word = "".join(rng.choice("abcrnm") for _ in range(rng.randrange(0, 8)))
-        for edits in (0, 1, 2):
-            got = trie.within(word, edits)
-            assert sorted(got) == sorted(w for w in words if distance(word, w) <= edits)
+    tokens = sorted({"".join(rng.choice("abcrnm") for _ in range(rng.randrange(1, 9))) for _ in range(60)})
+    for size in range(1, 7):
+        own = [w for w in words if len(w) == size]
+        trie = lexicon.Trie(own)
+        got = {(tokens[t], trie.words[w]) for t, w in zip(*trie.within(tokens))}
+        assert got == {(t, w) for t in tokens for w in own if distance(t, w) <= 2}
 
 
 def test_confusions():
-    assert lexicon.misreadings("scherne", "scheme") == 1 and lexicon.misreadings("auclit", "audit") == 1
-    assert lexicon.misreadings("eqiiati0n", "equation") == 2 and lexicon.misreadings("kemel", "kernel") == 1
-    assert lexicon.misreadings("drift", "drifts") is None and lexicon.misreadings("cat", "dog") is None
+    def misreadings(read, meant):
+        confusions, others = lexicon.misreadings([read], [meant])
+        return int(confusions[0]), int(others[0])
+
+    assert misreadings("scherne", "scheme") == (1, 0) and misreadings("auclit", "audit") == (1, 0)
+    assert misreadings("eqiiati0n", "equation") == (2, 0) and misreadings("kemel", "kernel") == (1, 0)
+    assert misreadings("drift", "drifts") == (0, 1) and misreadings("7lme", "time") == (2, 0) and misreadings("modol", "model") == (0, 1)
+    many = lexicon.misreadings(["7lme", "cat", "cat"], ["time", "cat", "cut"])
+    assert many[0].tolist() == [2, 0, 0] and many[1].tolist() == [0, 0, 1]
     assert lexicon.misread_number("l3.9%") == "13.9%" and lexicon.misread_number("4S6") == "456"
     assert lexicon.misread_number("13.9") is None and lexicon.misread_number("QFIN7110") is None and lexicon.misread_number("SO") is None
     assert [lexicon.roman(x) for x in ("xlix", "IV", "iiii", "", "vx")] == [49, 4, None, None, None]
 
 
+def test_candidates_are_weighed_not_excluded():
+    known = vocabulary(model=50, time=50)
+    assert known.best("modol", "", "") is None  # one edit that scanning doesn't make needs words around it
+    known.pairs[scans.pair_hash("the", "model")] = 20
+    assert known.best("modol", "the", "") == "model" and known.best("mxdel", "the", "") == "model"
+    assert known.best("7lme", "", "") == "time"
+    assert known.best("l", "", "") is None
+
+
 def test_number_lines_and_keys():
     assert [number_line(x) for x in ("12", "- 7 -", "Page 41 of 49", "[lO]", "xii", "l", "Notes by X", "29.886")] == [[12], [7], [41], [10], [12], [1, 50], [], []]
     assert line_key("Bond Duality   12") == line_key("13   B0nd Duality") == line_key("Bond Dualify")
@@ -72,7 +99,7 @@ def test_page_edges():
     assert read_page("out-of-sam-\nple", {}, "", known)[0] == [(1, "hyphenation")]
     assert read_page("out-\nof-sample", {}, "", known)[0] == []
     assert read_page("the end.\n\nthe next", {}, "", known)[1] == "the end.\n\nthe next"
-    empty = Vocabulary({}, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    empty = Known({})
     assert read_page("any w0rd 4O2\n-\n- - -", {}, "", empty)[0] == [(1, "misread")]
 
 
@@ -96,11 +123,21 @@ def test_operator(spark):
 
 def test_counts(spark):
     df = spark.createDataFrame([("one two one-two two",), ("two",), (None,)], "text string")
-    known = scans.vocabulary(df, least=1)
-    assert known.words == {"one": 2, "two": 4} and known.compounds == {"one-two": 1}
+    rows = scans.vocabulary(df, least=1).collect()
+    assert {r.word: r.n for r in rows if r.word} == {"one": 2, "two": 4, "one-two": 1}
+    known = Known({}, {}, {r.pair: r.n for r in rows if not r.word})
     assert known.follows("one", "two") == 2 and known.follows("two", "one") == 1 and known.follows("two", "three") == 0
 
 
+def test_candidates_by_joins(spark):
+    words = [(w, 50) for w in (*WORDS, "model", "time")]
+    counts = spark.createDataFrame(words, "word string, n long")
+    tokens = spark.createDataFrame([("modol",), ("7lme",), ("scherne",), ("x" * 40,)], "token string")
+    for size in (50_000, 3):
+        got = {(r.token, r.word): (r.n, r.confusions, r.others) for r in scans.candidates(tokens, counts, size).collect()}
+        assert got == {("modol", "model"): (50, 0, 1), ("7lme", "time"): (50, 2, 0), ("7lme", "the"): (50, 1, 1), ("scherne", "scheme"): (50, 1, 0)}
+
+
 def test_running_lines_of_long_documents(spark):
     clean = spark.createDataFrame([("the scheme shows that the market depends on the tolerance",)] * 6, "text string")
     pages = []
@@ -115,3 +152,18 @@ def test_running_lines_of_long_documents(spark):
     df = spark.createDataFrame(pages, "rowid long, document_id string, page_number int, text string")
     marks = {(r.id, m.line_no) for r in scans.furniture(scans.scanned_pages(df, "rowid", "document_id", "page_number", "text")).collect() for m in r.marks if m.mark == "header"}
     assert marks == {(n, 1) for n in range(20, 24)} | {(n, 5) for n in (30, 60, 90)}
+
+
+def test_three_header_lines_a_chapter_and_pages_without_a_number(spark):
+    pages = []
+    for n in range(1, 401):
+        own = "".join("adgkmopx"[n // 8**i % 8] for i in range(3))
+        lines = [f"opening {own}", f"middle {own}", f"inner {own}", f"closing {own}"]
+        if n % 50 < 12:
+            lines[:0] = ["University of Audit", "Library of Kernels", f"Chapter {'adgkmopx'[n // 50]}"]
+        pages.append((n, "d", n, "\n".join(lines)))
+    pages += [(1000 + n, "e", None, f"Notes of Audit\n\nbody {'adgkmopx'[n]}\nlast {'kxoadgmp'[n]}") for n in range(5)]
+    df = spark.createDataFrame(pages, "rowid long, document_id string, page_number int, text string")
+    marks = scans.furniture(scans.scanned_pages(df, "rowid", "document_id", "page_number", "text")).collect()
+    found = {r.id: sorted(scans.page_marks([m.asDict() for m in r.marks])) for r in marks}
+    assert {i: x for i, x in found.items() if x} == {**{n: [1, 2, 3] for n in range(1, 401) if n % 50 < 12}, **{1000 + n: [1] for n in range(5)}}
