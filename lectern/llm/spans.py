@@ -6,8 +6,9 @@ A span of at least ``least`` characters is looked for in three steps, none of wh
    equal anchors, so text around an anchor that no other record has can't be shared, and is left out.
 2. The text around each anchor that records share is a snippet. Equal snippets of an anchor are one class. Snippets are
    spread over shards by their anchor.
-3. Each shard has a compressed FM-index of its snippets, and every snippet is streamed against it by backward search.
-   Matches of ``least`` characters or more are reported with their places.
+3. Each shard has a compressed FM-index of its snippets, and every snippet, also one that stands in several records word for
+   word, is streamed against it: backward search gives its matching statistics. Where they reach ``least`` characters, the
+   match is reported with its places and followed to both ends.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.classes import member_pairs
 from lectern.llm.fmindex import FMIndex
 from lectern.llm.shingles import MULTIPLIER, code_points, powers, scramble
 from lectern.session import durable
@@ -147,13 +149,13 @@ def snippets(texts: DataFrame, shared: DataFrame, least: int, gram: int, hot: in
     return texts.join(by_doc, "doc").select("doc", "text", "found").mapInArrow(run, "block long, doc long, place int, start int, snippet string")
 
 
-def shard_matches(parts: list[str], least: int) -> np.ndarray:
-    """Rows ``(x, y, place in x, place in y, length)``, x < y, of the maximal matches within the snippets of one shard.
+def shard_matches(parts: list[str], several: np.ndarray, least: int) -> np.ndarray:
+    """Rows ``(x, y, place in x, place in y, length)`` of the maximal matches within the snippets of one shard: x < y, or x = y
+    for the whole of a snippet that stands in ``several`` records, which finds itself.
 
-    A span of ``least`` characters of a snippet holds one of its pieces of half that length, cut at fixed places. Those
-    are the patterns; each is searched backwards until it ends or fewer than two places match.
+    The matching statistics of each snippet are followed from its end to its beginning. Wherever they reach ``least``
+    with places that weren't there one character before, all places are reported; so no place is missed.
     """
-    piece = least // 2
     codes = code_points("\0".join(parts) + "\0")
     size = np.array([len(p) for p in parts], dtype=np.int64)
     begin = np.cumsum(size + 1) - size - 1
@@ -161,28 +163,22 @@ def shard_matches(parts: list[str], least: int) -> np.ndarray:
     _, numbers = np.unique(codes, return_inverse=True)
     numbers = numbers + 1
     numbers[begin + size] = 0
-    index = FMIndex(numbers, piece)
-    count = size // piece
-    owner = np.repeat(np.arange(len(parts)), count)
-    end = begin[owner] + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1) * piece
-    length, low, high = index.backward(numbers, end, piece)
-    good = length == piece
-    owner, end, low, high = owner[good], end[good], low[good], high[good]
+    index = FMIndex(numbers, least)
+    # A snippet's own place counts for one that stands in several records; another needs a second place.
+    text, place, low, high, _ = index.statistics(numbers, begin, begin + size, np.where(several, 1, 2))
     out = []
     many = np.cumsum(high - low) // PAIRS_AT_ONCE
     for chunk in np.unique(many):
         part = many == chunk
         width = (high - low)[part]
         row = np.repeat(low[part], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-        x, x_end = np.repeat(owner[part], width), np.repeat(end[part], width)
-        y_end = index.suffixes[row] + piece
-        y = np.searchsorted(begin, y_end, side="left") - 1
-        keep = x < y
-        x, y, x_end, y_end = x[keep], y[keep], x_end[keep], y_end[keep]
-        left, right = _extent(numbers, x_end - piece - 1, y_end - piece - 1, -1), _extent(numbers, x_end, y_end, 1)
-        whole = left + right + piece
-        long = whole >= least
-        found = np.stack([x, y, x_end - piece - left - begin[x], y_end - piece - left - begin[y], whole], axis=1)[long]
+        x, at_x = np.repeat(text[part], width), np.repeat(place[part], width)
+        at_y = index.places(row)
+        y = np.searchsorted(begin, at_y, side="right") - 1
+        keep = (x < y) | (several[x] & (at_x == at_y))
+        x, y, at_x, at_y = x[keep], y[keep], at_x[keep], at_y[keep]
+        left, right = _extent(numbers, at_x - 1, at_y - 1, -1), _extent(numbers, at_x + least, at_y + least, 1)
+        found = np.stack([x, y, at_x - left - begin[x], at_y - left - begin[y], left + right + least], axis=1)
         out.append(np.unique(found, axis=0))
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 5), np.int64)
 
@@ -206,7 +202,7 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     ``members``: ``class_doc``, ``class_place`` (what names a class), ``doc``, ``start`` (of the snippet in the record) and
     ``size``. ``matches``: the names of two classes, ``at_x`` and ``at_y`` within their snippets, and ``length``. Every
     member of a class of several records shares the whole snippet with the others, which is at least ``least`` long, so
-    such pairs aren't listed one by one. ``pairs``, ``spans`` and ``shared_parts`` read these two.
+    such pairs aren't listed one by one: the class matches itself. ``spans`` and ``shared_parts`` read these two.
 
     Null texts, null keys and texts shorter than ``least`` share nothing. A record isn't matched with itself, nor a
     repeated row with its like. Very long texts are cut into overlapping sections and lose no span. Runs of one
@@ -223,7 +219,7 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     classes = durable(classes.select("block", "snippet", F.col("name.doc").alias("class_doc"), F.col("name.place").alias("class_place"), (F.col("low") < F.col("high")).alias("several")))
     members = pieces.join(classes, ["block", "snippet"]).select("class_doc", "class_place", "doc", "start", F.length("snippet").alias("size"), "several").distinct()
 
-    sizes = classes.groupBy("block").agg(F.count("*").alias("m")).filter("m > 1")
+    sizes = classes.groupBy("block").agg(F.count("*").alias("m"), F.max("several").alias("some")).filter("m > 1 or some").drop("some")
     shards = max(1, -(-classes.count() // SHARD_SNIPPETS))
     tiles = F.ceil(F.col("m") / F.lit(tile)).cast("int")
     met = classes.join(sizes, "block").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("snippet"), F.col("tiles")).cast("int"))
@@ -236,35 +232,33 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["class_doc", "class_place"]).sort_values(["class_doc", "class_place"])
-        out = shard_matches(rows["snippet"].tolist(), least)
+        out = shard_matches(rows["snippet"].tolist(), rows["several"].to_numpy(), least)
         doc, place = rows["class_doc"].to_numpy(), rows["class_place"].to_numpy()
         return pd.DataFrame(
             {"x_doc": doc[out[:, 0]], "x_place": place[out[:, 0]], "y_doc": doc[out[:, 1]], "y_place": place[out[:, 1]], "at_x": out[:, 2], "at_y": out[:, 3], "length": out[:, 4]}
         )
 
     matches = (
-        met.select(shard.alias("shard"), "snippet", "class_doc", "class_place")
+        met.select(shard.alias("shard"), "snippet", "class_doc", "class_place", "several")
         .groupBy("shard")
         .applyInPandas(match, "x_doc long, x_place int, y_doc long, y_place int, at_x int, at_y int, length int")
     )
     return matches, members
 
 
+def _class(doc: str, place: str) -> Column:
+    return F.struct(F.col(doc).alias("doc"), F.col(place).alias("place"))
+
+
 def local_matches(matches: DataFrame, members: DataFrame) -> DataFrame:
     """``doc_a < doc_b``, ``start_a``, ``start_b``, ``length``: every shared stretch as the snippets show it."""
-    x = members.select(F.col("class_doc").alias("x_doc"), F.col("class_place").alias("x_place"), F.col("doc").alias("dx"), F.col("start").alias("sx"))
-    y = members.select(F.col("class_doc").alias("y_doc"), F.col("class_place").alias("y_place"), F.col("doc").alias("dy"), F.col("start").alias("sy"))
-    across = matches.join(x, ["x_doc", "x_place"]).join(y, ["y_doc", "y_place"]).select("dx", "dy", (F.col("sx") + F.col("at_x")).alias("px"), (F.col("sy") + F.col("at_y")).alias("py"), "length")
-    several = members.filter("several")
-    a = several.select("class_doc", "class_place", F.col("doc").alias("dx"), F.col("start").alias("px"), F.col("size").alias("length"))
-    b = several.select("class_doc", "class_place", F.col("doc").alias("dy"), F.col("start").alias("py"))
-    within = a.join(b, ["class_doc", "class_place"]).select("dx", "dy", "px", "py", "length").filter("dx < dy")
-    every = across.filter("dx <> dy").union(within)
-    first = F.col("dx") < F.col("dy")
+    pairs = matches.select(_class("x_doc", "x_place").alias("x"), _class("y_doc", "y_place").alias("y"), "at_x", "at_y", "length")
+    places = members.select(_class("class_doc", "class_place").alias("class"), F.struct("doc", "start").alias("member"))
+    every = member_pairs(pairs, places).filter("u.doc <> v.doc")
+    first, at_u, at_v = F.col("u.doc") < F.col("v.doc"), F.col("u.start") + F.col("at_x"), F.col("v.start") + F.col("at_y")
     return every.select(
-        F.least("dx", "dy").alias("doc_a"), F.greatest("dx", "dy").alias("doc_b"),
-        F.when(first, F.col("px")).otherwise(F.col("py")).alias("start_a"), F.when(first, F.col("py")).otherwise(F.col("px")).alias("start_b"), "length",
-    )
+        F.least("u.doc", "v.doc").alias("doc_a"), F.greatest("u.doc", "v.doc").alias("doc_b"), F.when(first, at_u).otherwise(at_v).alias("start_a"), F.when(first, at_v).otherwise(at_u).alias("start_b"), "length"
+    )
 
 
 def merged(intervals: DataFrame, by: list[str], start: str, length: str) -> DataFrame:
@@ -290,19 +284,16 @@ def shared_parts(matches: DataFrame, members: DataFrame, documents: DataFrame, k
 
     Pairs aren't needed for this: each class's stretches count once for each of its places.
     """
-    # Classes of one record alone may match only snippets of that same record; those stretches don't count.
+    # A class of one record matches what stands in that same record too; such stretches count only if the other class, or
+    # (where a class finds itself) the class, stands in several.
     pair = matches.filter("x_doc <> y_doc")
     twin = matches.filter("x_doc = y_doc")
-    stretch = pair.select(F.col("x_doc").alias("class_doc"), F.col("x_place").alias("class_place"), F.col("at_x").alias("at"), "length").union(
-        pair.select("y_doc", "y_place", "at_y", "length")
-    )
     several = members.filter("several").select("class_doc", "class_place").distinct()
-    named = twin.join(several.select(F.col("class_doc").alias("x_doc"), F.col("class_place").alias("x_place")), ["x_doc", "x_place"], "left_semi")
-    stretch = stretch.union(named.select("y_doc", "y_place", "at_y", "length"))
-    named = twin.join(several.select(F.col("class_doc").alias("y_doc"), F.col("class_place").alias("y_place")), ["y_doc", "y_place"], "left_semi")
-    stretch = stretch.union(named.select("x_doc", "x_place", "at_x", "length")).distinct()
+    x, y = (several.select(F.col("class_doc").alias(f"{s}_doc"), F.col("class_place").alias(f"{s}_place")) for s in "xy")
+    by_x, by_y = twin.join(x, ["x_doc", "x_place"], "left_semi"), twin.join(y, ["y_doc", "y_place"], "left_semi")
+    of_x, of_y = ("x_doc", "x_place", "at_x", "length"), ("y_doc", "y_place", "at_y", "length")
+    stretch = pair.select(*of_x).union(pair.select(*of_y)).union(by_x.select(*of_y)).union(by_y.select(*of_x)).distinct().toDF("class_doc", "class_place", "at", "length")
     places = stretch.join(members, ["class_doc", "class_place"]).select("doc", (F.col("start") + F.col("at")).alias("start"), "length")
-    own = members.filter("several").select("doc", "start", F.col("size").alias("length"))
-    union = merged(places.union(own).distinct(), ["doc"], "start", "length").groupBy("doc").agg(F.sum("length").alias("shared_chars"))
+    union = merged(places.distinct(), ["doc"], "start", "length").groupBy("doc").agg(F.sum("length").alias("shared_chars"))
     sizes = documents.select(F.col(key).alias("doc"), F.length(text).alias("chars")).filter("chars is not null").dropDuplicates(["doc"])
     return union.join(sizes, "doc").select(F.col("doc").alias(key), "chars", "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("shared_part"))

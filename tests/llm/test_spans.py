@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lectern.llm import spans
+from lectern.llm import classes, spans
 from lectern.llm.fmindex import FMIndex
 
 
@@ -94,21 +94,40 @@ def test_every_stretch_holds_an_anchor_across_sections(monkeypatch):
         assert ((places >= i) & (places + 12 <= i + 40)).any()
 
 
-def test_backward_search_counts_all_places():
+def test_matching_statistics_and_places():
     rng = np.random.default_rng(0)
-    for sigma, n in ((3, 300), (40, 900)):
+    for sigma, n, cap in ((3, 300, 20), (40, 900, 50)):
         codes = rng.integers(1, sigma, n)
         codes[rng.integers(0, n, 5)] = 0
         codes[200:260], codes[-1] = codes[100:160].copy(), 0
-        index, raw = FMIndex(codes, 64), bytes(codes.tolist())
-        ends = np.arange(1, n)
-        length, low, high = index.backward(codes, ends, 50)
-        for i in range(0, n - 1, 5):
-            end, size = int(ends[i]), int(length[i])
-            assert 0 not in codes[end - size : end]
-            if size:
-                places = sorted(k for k in range(n) if raw[k : k + size] == raw[end - size : end])
-                assert sorted(index.suffixes[low[i] : high[i]].tolist()) == places and len(places) > 1
-            if size < 50 and end - size - 1 >= 0 and codes[end - size - 1]:
-                longer = raw[end - size - 1 : end]
-                assert sum(raw[k : k + size + 1] == longer for k in range(n)) < 2
+        index, raw = FMIndex(codes, cap), bytes(codes.tolist())
+        order = sorted(range(n), key=lambda i: raw[i:])
+        assert index.places(np.arange(n + 1)).tolist() == [n, *order]
+        end = np.flatnonzero(codes == 0)
+        begin = np.concatenate([[0], end[:-1] + 1])
+        text, place, low, high, lengths = index.statistics(codes, begin, end, np.full(len(end), 2))
+        reported = {}
+        for p, a, b in zip(place.tolist(), low.tolist(), high.tolist()):
+            got = sorted(index.places(np.arange(a, b)).tolist())
+            assert got == [k for k in range(n) if raw[k : k + cap] == raw[p : p + cap]] and len(got) > 1
+            reported.setdefault(p, set()).update(got)
+        for i in range(n):
+            longest = max((m for m in range(1, cap + 1) if 0 not in codes[i : i + m] and i + m < n and raw.find(raw[i : i + m], raw.find(raw[i : i + m]) + 1) >= 0), default=0)
+            assert lengths[i] == longest
+            # Places that weren't there one character later are reported.
+            if longest == cap:
+                now = {k for k in range(n) if raw[k : k + cap] == raw[i : i + cap]}
+                later = {k - 1 for k in range(n) if raw[k : k + cap] == raw[i + 1 : i + 1 + cap] and 0 not in codes[i + 1 : i + 1 + cap]}
+                assert now - later - reported.get(i, set()) in (set(), {i})
+
+
+def test_a_class_in_most_records(spark):
+    rng = random.Random(8)
+    common = letters(rng, 80)
+    rows = [(i, common + letters(rng, 20) if i % 2 else letters(rng, 20) + common) for i in range(70)]
+    check(spark, rows, 40, 12)
+    pairs = spark.createDataFrame([(1, 1), (1, 2)], "x long, y long")
+    members = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 100), (2, 101)], "class long, member long")
+    got = [(r.x, r.y, r.u, r.v) for r in classes.member_pairs(pairs, members, tile=7).collect()]
+    assert {x[2:] for x in got if x[1] == 2} == {(u, v) for u in range(50) for v in (100, 101)}
+    assert {tuple(sorted(x[2:])) for x in got if x[1] == 1 and x[2] != x[3]} == {(u, v) for u in range(50) for v in range(u + 1, 50)}
