@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,47 +38,51 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(F.length(text) / 4).cast("int"))
 
 
-def _cut(text: str, limit: int, overlap: int) -> Iterator[tuple[int, int, str]]:
-    """Greedy pieces: each ends after the last paragraph, line or sentence end in the second half of its space."""
-    size, start = len(text), 0
-    if size <= limit:
-        yield 0, size, text
-        return
-    while start < size:
-        end = min(size, start + limit)
-        if end < size:
-            last = {mark: text.rfind(mark, start + limit // 2, end) for mark in ("\n\n", "\n", ". ")}
-            at = max(last.values())
-            if at > start:
-                end = at + (2 if text.startswith(". ", at) else 1)
-        piece = text[start:end]
-        stripped = piece.strip()
-        if stripped:
-            lead = len(piece) - len(piece.lstrip())
-            yield start + lead, start + lead + len(stripped), stripped
-        if end >= size:
-            return
-        start = max(start + 1, end - overlap)
+#: After these a text may be cut: a line's end, or a sentence's with the blank behind it.
+_ENDS = re.compile(r"\n|\. ")
+#: White space as it is stripped from a piece.
+_AROUND = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+def _pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """``(start, end)`` of the pieces of a text, before they are stripped. All ends are listed once; each piece takes the last
+    one that fits, if it lies in the second half of its space, and else all of its space."""
+    ends = [m.span() for m in _ENDS.finditer(text)]
+    out, start = [], 0
+    while start + limit < len(text):
+        last = bisect_right(ends, start + limit, key=itemgetter(1)) - 1
+        stop = ends[last][1] if last >= 0 and ends[last][0] >= start + limit // 2 else start + limit
+        out.append((start, stop))
+        start = max(start + 1, stop - overlap)
+    return [*out, (start, len(text))]
 
 
 def chunks(records: DataFrame, key: list[str], text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """``key``, ``part_number``, ``part_count``, ``char_start``, ``char_end``, ``token_estimate`` and ``text`` of the chunks
-    of each record. Offsets are those of the whitespace-normalised text. Records without text give none.
+    of each record. Offsets are those of the whitespace-normalised text. Records without text give none, and neither does
+    a piece that is blank.
 
-    Only texts beyond the limit go to Python.
+    The texts are read once. Only those beyond the limit go to Python, and only places come back from it.
     """
 
-    @F.pandas_udf("array<struct<s: int, e: int, t: string>>")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<struct<s: int, e: int>>")
+    def places(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield batch.map(lambda t: [{"s": s, "e": e, "t": p} for s, e, p in _cut(t, limit, overlap)])
+            yield batch.map(lambda t: [{"s": s, "e": e} for s, e in _pieces(t, limit, overlap)] if t is not None else None)
+
+    def stripped(p: Column) -> Column:
+        piece = F.substring("_t", p["s"] + 1, p["e"] - p["s"])
+        lead = F.length(piece) - F.length(F.regexp_replace(piece, f"^{_AROUND}+", ""))
+        own = F.regexp_replace(piece, f"^{_AROUND}+|{_AROUND}+\\z", "")
+        return F.struct((p["s"] + lead).alias("s"), (p["s"] + lead + F.length(own)).alias("e"), own.alias("t"))
 
     clean = records.select(*key, normal_whitespace(F.col(text)).alias("_t")).filter("_t <> ''")
-    short = clean.filter(F.length("_t") <= limit).select(*key, F.array(F.struct(F.lit(0).alias("s"), F.length("_t").alias("e"), F.col("_t").alias("t"))).alias("_c"))
-    long = clean.filter(F.length("_t") > limit).select(*key, cut("_t").alias("_c"))
-    every = short.union(long).select(*key, F.size("_c").alias("part_count"), F.posexplode("_c").alias("_p", "c"))
+    cut = clean.withColumn("_p", places(F.when(F.length("_t") > limit, F.col("_t"))))
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.length("_t").alias("e"), F.col("_t").alias("t")))
+    kept = F.when(F.col("_p").isNull(), whole).otherwise(F.filter(F.transform("_p", stripped), lambda p: p["t"] != ""))
+    every = cut.select(*key, kept.alias("_c")).select(*key, F.size("_c").alias("part_count"), F.posexplode("_c").alias("_n", "c"))
     return every.select(
-        *key, (F.col("_p") + 1).alias("part_number"), "part_count", F.col("c.s").alias("char_start"), F.col("c.e").alias("char_end"), token_estimate(F.col("c.t")).alias("token_estimate"), F.col("c.t").alias("text")
+        *key, (F.col("_n") + 1).alias("part_number"), "part_count", F.col("c.s").alias("char_start"), F.col("c.e").alias("char_end"), token_estimate(F.col("c.t")).alias("token_estimate"), F.col("c.t").alias("text")
     )
 
 

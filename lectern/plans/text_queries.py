@@ -281,6 +281,22 @@ c AS (SELECT doc_id, s + 1 AS line_start, least(s + 20, len(lines)) AS line_end,
 d AS (SELECT doc_id, line_start, line_end, list_filter(own, lambda x: starts_with(ltrim(x), '#'))[-1] AS head, regexp_replace(array_to_string(own, chr(10)), '^\s+|\s+$', '', 'g') AS text FROM c)
 SELECT doc_id, line_start, line_end, last_value(trim(regexp_replace(trim(head), '^#+', '')) IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_start ROWS UNBOUNDED PRECEDING) AS section_title,
   length(text) AS chars FROM d WHERE text <> ''""",
+    "chunk_split": f"""
+WITH RECURSIVE c AS (SELECT doc_id, {_CLEAN} AS t FROM documents WHERE text IS NOT NULL),
+p AS (
+  SELECT doc_id, t, 0 AS s, CASE WHEN length(t) <= 3500 THEN length(t) END AS e, 0 AS n FROM c WHERE t <> ''
+  UNION ALL
+  SELECT doc_id, t, CASE WHEN n = 0 THEN 0 ELSE greatest(s + 1, e - 400) END AS s2,
+    CASE WHEN s2 + 3500 >= length(t) THEN length(t) ELSE coalesce(nullif(greatest(
+      CASE WHEN strpos(reverse(substr(t, s2 + 1751, 1750)), chr(10)) > 0 THEN s2 + 3500 - strpos(reverse(substr(t, s2 + 1751, 1750)), chr(10)) + 1 ELSE 0 END,
+      CASE WHEN strpos(reverse(substr(t, s2 + 1751, 1750)), ' .') > 0 THEN s2 + 3500 - strpos(reverse(substr(t, s2 + 1751, 1750)), ' .') + 1 ELSE 0 END), 0), s2 + 3500) END, n + 1
+  FROM p WHERE e IS NULL OR (n > 0 AND e < length(t))
+),
+q AS (SELECT doc_id, n, s, e, substr(t, s + 1, e - s) AS piece FROM p WHERE e IS NOT NULL),
+r AS (SELECT doc_id, n, s + length(piece) - length(regexp_replace(piece, '^{_SPACE}+', '')) AS char_start, regexp_replace(piece, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS own FROM q),
+k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS part_number, count(*) OVER (PARTITION BY doc_id) AS part_count, char_start, char_start + length(own) AS char_end, own FROM r WHERE own <> '')
+SELECT doc_id, part_number, part_count, char_start, char_end, greatest(1, round_even(length(own) / 4, 0))::INT AS token_estimate, 'parent:' || sha1(doc_id || '|document|1') AS parent_id,
+  'chunk:' || sha256(doc_id || '|document|1|' || part_number || '|' || own) AS chunk_id FROM k""",
     "chunk_identities": """
 SELECT locator_type, count(*) AS chunks, count(*) FILTER (parent_id = 'parent:' || sha1(coalesce(document_id, 'None') || '|' || coalesce(locator_type, 'None') || '|' || coalesce(locator_value, 'None'))) AS same,
   count(DISTINCT parent_id) AS parents
