@@ -37,7 +37,7 @@ RUN_PAGES = 10
 #: don't explain.
 CONFUSION, OTHER, SHORT, AROUND, BELIEVED = 4, 8, 5, 8, -6
 #: Pages that are read together, words of a trie, and unknown words that walk it in a task.
-SHEAF, TRIE_WORDS, MEET = 256, 50_000, 16_384
+SHEAF, TRIE_WORDS, MEET = 256, 50_000, 8192
 BREAKS = "-‐‑­¬"
 
 _WORD = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)*")
@@ -97,14 +97,16 @@ def vocabulary(texts: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def _plain(word: str) -> str:
-    return word.replace("‐", "-").replace("‑", "-")
+    return word if word.isascii() else word.replace("‐", "-").replace("‑", "-")
 
 
 class Known:
     """What a reading of pages asks for: counts of words, candidates of unknown ones, and how often words follow."""
 
-    def __init__(self, counts: dict[str, int], candidates: dict[str, list[tuple[str, int, int]]] | None = None, pairs: dict[int, int] | None = None) -> None:
+    def __init__(self, counts: dict[str, int], candidates: dict[str, list[tuple[str, int, int]]] | None = None, pairs: dict[tuple[str, str], int] | None = None) -> None:
         self.counts, self.candidates, self.pairs = counts, candidates or {}, pairs or {}
+        #: Tokens that are right as they stand, wherever they stand.
+        self.right: set[str] = set()
 
     def count(self, word: str) -> int:
         return self.counts.get(_plain(word), 0)
@@ -114,8 +116,7 @@ class Known:
         return self.candidates.get(token, [])
 
     def follows(self, left: str, right: str) -> int:
-        pair = pair_hash(left, right)
-        return self.pairs.get(pair, 0) if pair is not None else 0
+        return self.pairs.get((left, right), 0)
 
     def best(self, token: str, before: str, after: str) -> str | None:
         """The likeliest word meant by ``token`` between its neighbours; None if no candidate is believed."""
@@ -127,6 +128,10 @@ class Known:
                 top = (score, word)
         return top and top[1]
 
+    def settled(self, token: str) -> bool:
+        """Whether an unknown token comes out the same between any words."""
+        return not any(self.meant(piece) for p in _PIECE.findall(token.lower()) for piece in (p, p.rstrip("!$")))
+
     def also(self, text: str) -> None:
         """A text that a reading may come to, depending on what is known."""
 
@@ -157,6 +162,9 @@ class Asked(Known):
         self.unknown.add(token)
         return []
 
+    def settled(self, token: str) -> bool:
+        return True  # once asked for is enough
+
     def also(self, text: str) -> None:
         _repaired(text, self, ("", ""))
 
@@ -175,12 +183,11 @@ class Open(Known):
         return super().best(token, before, after)
 
 
-def pair_hash(left: str, right: str) -> int | None:
-    """The hash of two words in a row, as ``counted`` has it; None if they aren't just two."""
-    if not left or not right:
-        return None
-    pair = _pairs(*word_hashes([f"{left} {right}"]))
-    return int(pair.view(np.int64)[0]) if len(pair) == 1 else None
+def pair_hashes(pairs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of two words in a row, as ``counted`` has them, and of which of ``pairs``: those that are just two words."""
+    hashes, first = word_hashes([f"{left} {right}" for left, right in pairs])
+    two = np.flatnonzero(np.diff(first) == 2)
+    return scramble(hashes[first[two]] * MULTIPLIER + hashes[first[two] + 1]).view(np.int64), two
 
 
 # 2. Furniture
@@ -399,8 +406,11 @@ def _repaired(line: str, known: Known, around: tuple[str, str] | None = None) ->
     out, at, misread = [], 0, False
     for k, match in enumerate(tokens):
         token = match[0]
+        if token in known.right:
+            continue
         low = token.lower()
         if known.count(low) or token.isdigit():
+            known.right.add(token)
             continue
         number = lexicon.misread_number(token)
         if number is not None:
@@ -409,7 +419,10 @@ def _repaired(line: str, known: Known, around: tuple[str, str] | None = None) ->
             before = tokens[k - 1][0].lower() if k else ""
             after = tokens[k + 1][0].lower() if k + 1 < len(tokens) else ""
             replaced = _PIECE.sub(lambda m: _meant(m[0], before, after, known), token)
-        if replaced != token:
+        if replaced == token:
+            if known.settled(token):
+                known.right.add(token)
+        else:
             misread = True
             out.append(line[at : match.start()] + replaced)
             at = match.end()
@@ -486,7 +499,7 @@ def candidates(tokens: DataFrame, words: DataFrame, trie_words: int = TRIE_WORDS
     return each.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(run, "token string, word string, n long, confusions int, others int")
 
 
-ANSWERS = {"token": "string", "word": "string", "n": "long", "confusions": "int", "others": "int", "pair": "long"}
+ANSWERS = {"token": "string", "word": "string", "n": "long", "confusions": "int", "others": "int"}
 
 
 def _answers(rows: DataFrame, *names: str) -> DataFrame:
@@ -494,15 +507,15 @@ def _answers(rows: DataFrame, *names: str) -> DataFrame:
 
 
 def _given(answers: pa.Table) -> tuple[dict, dict, dict]:
-    """Counts of words, candidates of tokens and counts of pairs, from the answers to one sheaf."""
+    """Counts of words, candidates of tokens and counts of pairs (which are without edits), from the answers to one sheaf."""
     counts: dict[str, int] = {}
     options: dict[str, list] = {}
-    pairs: dict[int, int] = {}
-    for token, word, n, confusions, others, pair in zip(*(answers.column(c).to_pylist() for c in ANSWERS)):
-        if pair is not None:
-            pairs[pair] = n
-        elif word is None:
+    pairs: dict[tuple[str, str], int] = {}
+    for token, word, n, confusions, others in zip(*(answers.column(c).to_pylist() for c in ANSWERS)):
+        if word is None:
             counts[token] = n
+        elif others is None:
+            pairs[token, word] = n
         else:
             options.setdefault(token, []).append((word, confusions, others))
             counts[word] = n
@@ -514,17 +527,18 @@ def _pages(table: pa.Table) -> Iterator[tuple]:
 
 
 def _wanted_pairs(pages: DataFrame, answers: DataFrame) -> DataFrame:
-    """``sheaf`` and ``pair``: the hashes of words in a row that decide between candidates."""
+    """``sheaf``, ``token``, ``word`` and their hash ``pair``: words in a row that decide between candidates."""
 
     def run(own: pa.Table, given: pa.Table) -> pa.Table:
         known = Open(*_given(given))
         for _, text, marks, following in _pages(own):
             read_page(text, page_marks(marks), following or "", known)
-        both = {p for token, before, after in known.places for word, *_ in known.meant(token) for p in ((before, word), (word, after))}
-        pairs = sorted({h for p in both if (h := pair_hash(*p)) is not None})
-        return pa.table({"sheaf": pa.array([own.column("sheaf")[0].as_py()] * len(pairs) if pairs else [], type=pa.int64()), "pair": pa.array(pairs, type=pa.int64())})
+        both = sorted({p for token, before, after in known.places for word, *_ in known.meant(token) for p in ((before, word), (word, after)) if all(p)})
+        hashes, which = pair_hashes(both)
+        columns = [pa.array([both[i][side] for i in which], type=pa.string()) for side in (0, 1)]
+        return pa.table([pa.array(np.full(len(which), own.column("sheaf")[0].as_py() if len(which) else 0, np.int64)), *columns, pa.array(hashes)], names=["sheaf", "token", "word", "pair"])
 
-    return pages.groupBy("sheaf").cogroup(answers.groupBy("sheaf")).applyInArrow(run, "sheaf long, pair long")
+    return pages.groupBy("sheaf").cogroup(answers.groupBy("sheaf")).applyInArrow(run, "sheaf long, token string, word string, pair long")
 
 
 def repaired_pages(pages: DataFrame, clean: DataFrame, id: str = "rowid", doc: str = "document_id", page: str = "page_number", text: str = "text", least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -556,7 +570,7 @@ def repaired_pages(pages: DataFrame, clean: DataFrame, id: str = "rowid", doc: s
     answers = _answers(found.filter("n is not null"), "token", "n")
     answers = durable(answers.union(_answers(found.filter("unknown and n is null").select("sheaf", "token").join(options, "token"), "token", "word", "n", "confusions", "others")))
     pairs = _wanted_pairs(laid, answers).join(known.filter("pair is not null").select("pair", "n"), "pair")
-    answers = answers.union(_answers(pairs, "pair", "n"))
+    answers = answers.union(_answers(pairs, "token", "word", "n"))
     release(found, strange, options)
 
     def run(own: pa.Table, given: pa.Table) -> pa.Table:

@@ -72,7 +72,7 @@ def test_confusions():
 def test_candidates_are_weighed_not_excluded():
     known = vocabulary(model=50, time=50)
     assert known.best("modol", "", "") is None  # one edit that scanning doesn't make needs words around it
-    known.pairs[scans.pair_hash("the", "model")] = 20
+    known.pairs["the", "model"] = 20
     assert known.best("modol", "the", "") == "model" and known.best("mxdel", "the", "") == "model"
     assert known.best("7lme", "", "") == "time"
     assert known.best("l", "", "") is None
@@ -125,8 +125,10 @@ def test_counts(spark):
     df = spark.createDataFrame([("one two one-two two",), ("two",), (None,)], "text string")
     rows = scans.vocabulary(df, least=1).collect()
     assert {r.word: r.n for r in rows if r.word} == {"one": 2, "two": 4, "one-two": 1}
-    known = Known({}, {}, {r.pair: r.n for r in rows if not r.word})
-    assert known.follows("one", "two") == 2 and known.follows("two", "one") == 1 and known.follows("two", "three") == 0
+    asked = [("one", "two"), ("one-two", "two"), ("two", "one"), ("two", "three"), ("", "two")]
+    hashes, which = scans.pair_hashes(asked)
+    pairs = {r.pair: r.n for r in rows if not r.word}
+    assert {asked[i]: pairs.get(h, 0) for i, h in zip(which.tolist(), hashes.tolist())} == {("one", "two"): 2, ("two", "one"): 1, ("two", "three"): 0}
 
 
 def test_candidates_by_joins(spark):
