@@ -10,7 +10,7 @@ TILE = 1000
 
 def member_pairs(pairs: DataFrame, members: DataFrame, tile: int = TILE) -> DataFrame:
     """The rows of ``pairs`` (classes ``x`` and ``y``, and more columns), each with every member ``u`` of x beside every member
-    ``v`` of y. ``members`` has ``class`` and ``member``. Where x is y, two members meet in one or both orders.
+    ``v`` of y. ``members`` has ``class`` and ``member``, each once. Where x is y, each two members meet once, in either order.
 
     A class of more than ``tile`` members is cut into tiles, and each pair of tiles is a row of its own that is spread by
     all its parts; so no task gets more than its share, however large a class is.
@@ -27,5 +27,5 @@ def member_pairs(pairs: DataFrame, members: DataFrame, tile: int = TILE) -> Data
     met = side(side(pairs, "x", "_t"), "y", "_s").filter((F.col("x") != F.col("y")) | (F.col("_t") <= F.col("_s")))
     met = met.join(tiled.select(F.col("class").alias("x"), F.col("t").alias("_t"), F.col("list").alias("_u")), ["x", "_t"])
     met = met.join(tiled.select(F.col("class").alias("y"), F.col("t").alias("_s"), F.col("list").alias("_v")), ["y", "_s"])
-    spread = met.repartition("x", "_t", "y", "_s").drop("_t", "_s")
-    return spread.withColumn("u", F.explode("_u")).drop("_u").withColumn("v", F.explode("_v")).drop("_v")
+    spread = met.repartition("x", "_t", "y", "_s").withColumn("u", F.explode("_u")).drop("_u").withColumn("v", F.explode("_v")).drop("_v")
+    return spread.filter((F.col("x") != F.col("y")) | (F.col("_t") != F.col("_s")) | (F.col("u") < F.col("v"))).drop("_t", "_s")

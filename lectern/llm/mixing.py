@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import durable
+from lectern.session import durable, release
 
 SMALL_TABLE = 10_000
 
@@ -29,8 +29,10 @@ def ranked(records: DataFrame, key: str) -> DataFrame:
     which come from a table of one row for each partition and source in it.
     """
     # Equal rows are told apart by where they were read, so that even very many of them don't share one stretch.
-    rows = records.select(key, "source", "tokens").withColumn("_row", F.monotonically_increasing_id())
+    # They are written first: a range partitioning reads its rows twice, and sizes in tokens cost most of all.
+    rows = durable(records.select(key, "source", "tokens").withColumn("_row", F.monotonically_increasing_id()))
     stretches = durable(rows.repartitionByRange("source", "tokens", key, "_row").drop("_row").withColumn("_part", F.spark_partition_id()))
+    release(rows)
     counts = stretches.groupBy("source", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("source").alias("_source"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

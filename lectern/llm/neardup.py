@@ -1,14 +1,17 @@
 """Near-duplicate texts: pairs whose word-shingle sets reach a Jaccard similarity, and the groups they form.
 
 1. Each text becomes a set of shingles; sets that are equal are one class, whose first key represents it from here on.
-2. Classes meet in blocks: bands of minimum hashes, wide enough that a pair at the threshold is missed with a chance
-   below 1 in 10,000 (see ``miss_chance``). A block too large for a task is cut into tiles that meet in pairs.
-3. In a block, a Gray-order hierarchical index over parity fingerprints prunes what differs too much, without loss.
+2. The index is a hierarchy over the fingerprints of classes. Its uppermost nodes are masked patterns: bands of minimum
+   hashes, as many as keep the chance that a pair at the threshold shares none below ``MISSED``. They are spread over tasks,
+   and a node too large for one is cut into tiles that meet in pairs.
+3. Below, parity fingerprints lie in Gray order, and whole groups are pruned by the differences that add up on the way
+   down, without loss. Fingerprints are wide enough for the sizes of the sets; between widths, the wider one is folded.
 4. What is left is checked exactly on the shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,22 +19,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.classes import member_pairs
 from lectern.llm.grayindex import GrayForest
 from lectern.llm.shingles import MULTIPLIER, scramble, shingle_sets
 from lectern.session import durable
 
-BANDS, ROWS = 24, 3
+ROWS = 3
+#: The chance with which a pair at the threshold may be missed.
+MISSED = 1e-4
+#: Bits of the narrowest fingerprint. A wider one has twice as many, and so on, at least one for each element of the set.
 BITS = 256
 TILE = 2048
 BATCH = 1 << 17
 
 
-def miss_chance(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
+def bands_for(similarity: float, missed: float = MISSED, rows: int = ROWS) -> int:
+    """How many bands of ``rows`` minimum hashes two sets of that similarity share one of, but for a chance of ``missed``."""
+    if not 0 < similarity <= 1:
+        raise ValueError("a similarity lies above 0 and is at most 1")
+    return 1 if similarity == 1 else math.ceil(math.log(missed) / math.log(1 - similarity**rows))
+
+
+def miss_chance(similarity: float, bands: int, rows: int = ROWS) -> float:
     """The chance that two sets of that similarity share no band."""
     return (1 - similarity**rows) ** bands
 
 
-def _sketch(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sketch(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """For each set: two 64-bit sums that name it, its band keys, and its parity fingerprint as 64-bit words."""
     count = np.array([len(s) for s in sets])
     begin = np.cumsum(count) - count
@@ -47,11 +61,23 @@ def _sketch(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray,
                 hashed ^= hashed >> np.uint64(29)
                 mixed = scramble(mixed * MULTIPLIER + np.minimum.reduceat(hashed * MULTIPLIER, begin))
             keys[:, band] = mixed
-    owner = np.repeat(np.arange(len(sets)), count)
-    bit = (every >> np.uint64(40)).astype(np.int64) % BITS
-    parity = (np.bincount(owner * BITS + bit, minlength=len(sets) * BITS) & 1).astype(np.uint8).reshape(len(sets), BITS)
-    words = np.packbits(parity, axis=1).view(">u8").astype(np.uint64)
-    return names, keys, words
+    widths = BITS << width_class(count)
+    place = np.cumsum(widths) - widths
+    # The low bits of a place stay the same when a fingerprint is folded.
+    bit = ((every >> np.uint64(24)) & np.repeat(widths - 1, count).astype(np.uint64)).astype(np.int64)
+    parity = (np.bincount(np.repeat(place, count) + bit, minlength=int(widths.sum())) & 1).astype(np.uint8)
+    words = np.packbits(parity, bitorder="little").view(np.uint64)
+    return names, keys, [w.tobytes() for w in np.split(words, place[1:] // 64)]
+
+
+def width_class(size: np.ndarray) -> np.ndarray:
+    """How often ``BITS`` is doubled to have a bit for each of ``size`` elements."""
+    return np.ceil(np.log2(np.maximum(1, size / BITS))).astype(np.int64)
+
+
+def folded(code: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of more words as one of ``words``: the parity of each bit's places."""
+    return np.bitwise_xor.reduce(code.reshape(-1, words), axis=0)
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -70,7 +96,7 @@ def _parts(texts: list[str], most: int = 4_000_000) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def sketches(texts: DataFrame, key: str, words: int, least_words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketches(texts: DataFrame, key: str, words: int, least_words: int, bands: int, rows: int = ROWS) -> DataFrame:
     """``key``, ``c1``/``c2`` (the name of the shingle set), ``n`` (its size), ``fp`` and ``keys`` of each text that counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +115,7 @@ def sketches(texts: DataFrame, key: str, words: int, least_words: int, bands: in
                         pa.array(names[:, 0].view(np.int64)),
                         pa.array(names[:, 1].view(np.int64)),
                         pa.array(np.array([len(s) for s in sets], dtype=np.int32)),
-                        pa.array([row.tobytes() for row in fp], type=pa.binary()),
+                        pa.array(fp, type=pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))),
                     ],
                     names=["key", "c1", "c2", "n", "fp", "keys"],
@@ -125,12 +151,19 @@ def candidates(classes: DataFrame, similarity: float, tile: int = TILE) -> DataF
             t, s, own = (table.column(c).to_numpy() for c in ("t", "s", "own"))
             band, rep = table.column("band").to_numpy(), table.column("rep").to_numpy()
             block = np.cumsum(np.concatenate([[0], (band[1:] != band[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1])]))
-            codes = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-            a, b = GrayForest(block, codes, table.column("n").to_numpy().astype(np.int64)).pairs(similarity)
-            # In the meeting of two different tiles, pairs within one tile belong to that tile's own block.
-            cross = (t[a] == s[a]) | (own[a] != own[b])
-            low, high = np.minimum(rep[a], rep[b])[cross], np.maximum(rep[a], rep[b])[cross]
-            once = np.unique(np.stack([low, high], axis=1), axis=0)
+            n, codes = table.column("n").to_numpy().astype(np.int64), table.column("fp").to_pylist()
+            low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            # A set meets those of its own width; where it can be like narrower ones, it visits them folded.
+            width = width_class(n)
+            for w in np.unique(width):
+                reach = np.flatnonzero((width >= w) & (n * similarity <= (BITS << w)))
+                wide = np.stack([folded(np.frombuffer(codes[i], np.uint64), BITS // 64 << int(w)) for i in reach])
+                a, b = GrayForest(block[reach], wide, n[reach]).pairs(similarity)
+                a, b = reach[a], reach[b]
+                # In the meeting of two different tiles, pairs within one tile belong to that tile's own block.
+                cross = ((t[a] == s[a]) | (own[a] != own[b])) & (np.minimum(width[a], width[b]) == w)
+                low.append(np.minimum(rep[a], rep[b])[cross]), high.append(np.maximum(rep[a], rep[b])[cross])
+            once = np.unique(np.stack([np.concatenate(low), np.concatenate(high)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
 
     keyed = classes.select("rep", F.explode(F.array_distinct("keys")).alias("band"))
@@ -158,7 +191,7 @@ def near_duplicates(
     Null, empty and short texts (fewer than ``least_words`` words, or than ``words``) are in neither result; so are null
     keys. Very long texts are handled whole. Empty tables give empty results. Extra columns are ignored.
     """
-    sketched = durable(sketches(texts, key, words, least_words))
+    sketched = durable(sketches(texts, key, words, least_words, bands_for(similarity)))
     classes = durable(
         sketched.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     )
@@ -196,13 +229,8 @@ def _checked(pairs: DataFrame, texts: DataFrame, key: str, words: int, similarit
 
 
 def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of keys, ``a < b``: across linked classes and within each class."""
-    across = (
-        links.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"))
-        .join(members.select(F.col("key").alias("x"), F.col("rep").alias("rep_a")), "rep_a")
-        .join(members.select(F.col("key").alias("y"), F.col("rep").alias("rep_b")), "rep_b")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    )
-    copies = members.join(members.groupBy("rep").count().filter("count > 1"), "rep", "left_semi")
-    within = copies.select("rep", F.col("key").alias("a")).join(copies.select("rep", F.col("key").alias("b")), "rep").filter("a < b").select("a", "b")
-    return across.union(within)
+    """All pairs of keys, ``a < b``: across linked classes and within each class, however large one is."""
+    several = members.groupBy("rep").count().filter("count > 1").select("rep")
+    met = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(several.select("rep", "rep"))
+    pairs = member_pairs(met, members.select(F.col("rep").alias("class"), F.col("key").alias("member")))
+    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))

@@ -105,4 +105,31 @@ def test_empty_and_chance(spark):
     df = spark.createDataFrame([], "rowid long, text string")
     links, members = neardup.near_duplicates(df)
     assert links.count() == 0 and members.count() == 0 and neardup.expanded(links, members).count() == 0
-    assert neardup.miss_chance(0.7) < 1e-4 and neardup.miss_chance(0.8) < 1e-6
+    for similarity in (0.3, 0.5, 0.7, 0.8, 0.95):
+        assert neardup.miss_chance(similarity, neardup.bands_for(similarity)) <= 1e-4 < neardup.miss_chance(similarity, max(1, neardup.bands_for(similarity) // 2))
+
+
+def test_long_texts_of_different_widths(spark):
+    rng = random.Random(11)
+    rows = []
+    for base in range(6):
+        words = [f"{base}w{rng.randrange(10_000)}" for _ in range(rng.choice((240, 262, 500, 1030)))]
+        for copy in range(4):
+            own = words[: int(len(words) * (1 - 0.07 * copy))]
+            own[rng.randrange(len(own))] = "other"
+            rows.append((10 * base + copy, " ".join(own)))
+    df = spark.createDataFrame(rows, "rowid long, text string")
+    got = {(r.a, r.b) for r in neardup.expanded(*neardup.near_duplicates(df, "rowid", 3, 0.7)).collect()}
+    assert got == brute(rows, 3, 0.7, 1)[0] and len(got) > 20
+
+
+def test_folding_and_pruning_of_wide_fingerprints():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (200, 300, 3000, 3000)]
+    codes = [np.frombuffer(c, np.uint64) for c in neardup._sketch(sets, 2, 3)[2]]
+    assert [len(c) * 64 for c in codes] == [256, 512, 4096, 4096]
+    for s, c in zip(sets, codes):
+        bits = np.bincount(((s >> np.uint64(24)) & np.uint64(255)).astype(int), minlength=256) & 1
+        assert (np.unpackbits(neardup.folded(c, 4).view(np.uint8), bitorder="little") == bits).all()
+    a, b = GrayForest(np.zeros(2, np.int64), np.stack(codes[2:]), np.array([3000, 3000])).pairs(0.7)
+    assert len(a) == 0  # sets of this size that have nothing in common are told apart
