@@ -71,6 +71,13 @@ def route(path: Column) -> Column:
     return F.coalesce(lookup(suffix(path), ROUTES), F.lit("unsupported"))
 
 
+def route_of(name: str) -> str:
+    """``route`` of one name, inside a task."""
+    last = name.rpartition("/")[2]
+    at = last.rfind(".")
+    return ROUTES.get(last[at:].lower(), "unsupported") if at > 0 else "unsupported"
+
+
 def context(path: Column) -> dict[str, Column]:
     """``term``, ``course``, ``content_role`` and ``access_review`` as the manifest has them.
 

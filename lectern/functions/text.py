@@ -47,33 +47,37 @@ def normal_whitespace(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+\z", "")
 
 
-def _unicode_form(form: str, casefold: bool, strip_marks: bool):
-    @F.pandas_udf("string")
-    def convert(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(text: str | None) -> str | None:
-            if text is None or text.isascii():
-                return text.lower() if text and casefold else text
-            text = unicodedata.normalize(form, text.casefold() if casefold else text)
-            return "".join(c for c in text if not unicodedata.combining(c)) if strip_marks else text
+_WRITTEN_OUT = str.maketrans({sign: f" {name} " for letter, name in GREEK.items() for sign in (letter, letter.upper())})
 
-        for batch in texts:
-            yield batch.map(one, na_action="ignore")
 
-    return convert
+def _folded(text: str) -> str:
+    """Greek letters by name, case folded, compatibility forms taken apart, without accents."""
+    text = unicodedata.normalize("NFKD", text.translate(_WRITTEN_OUT).casefold())
+    return "".join(c for c in text if not unicodedata.combining(c))
 
 
 def search_form(text: Column) -> Column:
     """What searches compare: Greek letters by name, case folded, compatibility forms taken apart, without accents, and
-    blanks for underscores, slashes and dashes."""
-    for letter, name in GREEK.items():
-        text = F.regexp_replace(text, f"[{letter}{letter.upper()}]", f" {name} ")
-    folded = _unicode_form("NFKD", casefold=True, strip_marks=True)(text)
+    blanks for underscores, slashes and dashes. Only texts beyond ASCII go to Python."""
+
+    @F.pandas_udf("string")
+    def fold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(_folded, na_action="ignore")
+
+    folded = F.coalesce(fold(F.when(text.rlike(r"[^\x00-\x7f]"), text)), F.lower(text))
     return F.regexp_replace(folded, r"[_/\\\-–—]+", " ")
 
 
 def quote_form(text: Column) -> Column:
     """What quotations compare: compatibility forms composed, and single blanks for all white space."""
-    composed = _unicode_form("NFKC", casefold=False, strip_marks=False)(text)
+
+    @F.pandas_udf("string")
+    def compose(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    composed = F.coalesce(compose(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
     return F.trim(F.regexp_replace(composed, r"[\s\p{Z}]+", " "))
 
 

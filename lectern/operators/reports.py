@@ -50,6 +50,53 @@ def retrieval_quality(hits: DataFrame, expected: DataFrame, case: str, item: str
     )
 
 
+def retrieval_summary(quality: DataFrame) -> DataFrame:
+    """One row over ``retrieval_quality``: questions, how many are found, the hit rate, the mean reciprocal rank, and the
+    median of the ranks found. No questions give zeros and nulls."""
+    return quality.agg(
+        F.count("*").alias("questions"), F.count("first_rank").alias("found"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate"),
+        F.round(F.avg("reciprocal_rank"), 6).alias("mean_reciprocal_rank"), F.percentile("first_rank", 0.5).alias("median_rank"),
+    )
+
+
+def expected_hit(text: Column, contains: Column, locator: Column | None = None, expected_locator: Column | None = None) -> Column:
+    """Whether a hit is what a case expects: its text holds the expected words and, where one is expected, its locator is
+    that one. A case that expects no words takes any text; a null text holds none."""
+    held = contains.isNull() | F.coalesce(F.contains(text, contains), F.lit(False))
+    return held if locator is None else held & (expected_locator.isNull() | F.coalesce(locator == expected_locator, F.lit(False)))
+
+
+def answer_figures(answers: DataFrame) -> DataFrame:
+    """One row over answered cases (``expected`` and ``answered``: whether an answer was due and given, ``correct``, ``quotes`` and
+    ``exact_quotes``): share of right answers, of right abstentions, and of quotations that are exact. Null where no
+    case counts."""
+    due, given = F.col("expected"), F.col("answered")
+    return answers.agg(
+        F.count("*").alias("cases"), F.round(F.avg(F.when(due, (given & F.col("correct")).cast("int"))), 6).alias("answer_accuracy"),
+        F.round(F.avg(F.when(~due, (~given).cast("int"))), 6).alias("abstention_accuracy"), F.round(F.try_divide(F.sum("exact_quotes"), F.sum("quotes")), 6).alias("exact_quotation_rate"),
+    )
+
+
+def extraction_status(records: DataFrame, done: DataFrame) -> DataFrame:
+    """How many files were extracted now (``complete``), reused from before (``cached``), or failed (``error``). ``records`` has
+    ``content_hash`` and ``record_type`` of what an extraction gave, ``done`` the hashes that were there before. A file
+    counts once: it failed if all its records are errors."""
+    by_file = records.groupBy("content_hash").agg(F.min(F.col("record_type") == "error").alias("failed"))
+    known = done.select("content_hash").distinct().withColumn("_before", F.lit(True))
+    status = F.when(F.col("failed"), "error").when(F.col("_before"), "cached").otherwise("complete")
+    return by_file.join(known, "content_hash", "left").groupBy(status.alias("status")).agg(F.count("*").alias("files"))
+
+
+def doubtful_extractions(records: DataFrame, least_confidence: float = 70.0) -> DataFrame:
+    """The records to look at again, with the ``reason``: an error, no text, issues of an archive, or recognition below
+    ``least_confidence``. A null confidence is none."""
+    reason = (
+        F.when(F.col("record_type") == "error", "error").when(F.coalesce(F.trim("text"), F.lit("")) == "", "empty")
+        .when(F.coalesce("issues", F.lit(0)) > 0, "issues").when(F.col("ocr_confidence") < least_confidence, "recognition")
+    )
+    return records.withColumn("reason", reason).filter("reason is not null")
+
+
 def regressions(before: DataFrame, now: DataFrame, case: str, good: str) -> DataFrame:
     """Cases that were good before and aren't now, or are missing."""
     return before.filter(good).select(case).join(now.filter(good).select(case), case, "left_anti")

@@ -80,6 +80,55 @@ def aggregate(rows: DataFrame, cell: str, keep: Column | None = None) -> DataFra
     )
 
 
+def delimited_lines(texts: DataFrame, key: list[str], text: str, separator: str = ",") -> DataFrame:
+    """The lines of delimited texts as rows of tables: ``key``, ``row_number`` (from 1), ``cells`` and ``formulas`` (all null).
+    Quoted cells may hold separators and doubled quotes; a byte-order mark is no part of a cell. Null texts give none."""
+    lines = F.split(F.regexp_replace(F.regexp_replace(F.col(text), "^\ufeff", ""), r"\r\n?", "\n"), "\n")
+    sign = "\\t" if separator == "\t" else f"[{separator}]"
+    # With a separator in front of the first cell too, no match is empty.
+    found = F.regexp_extract_all(F.concat(F.lit(separator), "line"), F.lit(f'{sign}("(?:[^"]|"")*"|(?:(?!{sign}).)*)'), 1)
+    plain = F.transform(found, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    each = texts.select(*key, F.posexplode(lines).alias("n", "line")).filter("line <> ''")
+    return each.select(*key, (F.col("n") + 1).cast("long").alias("row_number"), plain.alias("cells")).withColumn("formulas", F.transform("cells", lambda c: F.lit(None).cast("string")))
+
+
+def answer(
+    rows: DataFrame, key: list[str], column: str, selected: str = "", header: bool = True, where: str | None = None, kind: str = "number", low: str | float | None = None, high: str | float | None = None, order: str = "iso"
+) -> DataFrame:
+    """One bounded question to each table (``key``) of ``rows`` (``row_number``, ``cells``, ``formulas``): the figures of one column
+    over the rows of a cell range that pass one filter.
+
+    ``selected`` is a range such as ``A1:F500``, or empty for all within the bounds; with ``header`` its first row has the
+    labels. ``column`` and ``where`` (the filter's column) are letters within the range. One row for each table: ``label``
+    and ``unit`` of the column, rows scanned, matched and excluded, numeric values, formulas in the range and how many have
+    no cached value, and sum, mean, min, max and sample deviation. Formulas are reported, never evaluated. A row is one
+    of partial sums, so a table may be of any size. Bounds that aren't a number or date, or are in the wrong order, and
+    columns outside the range are errors. No rows give no tables.
+    """
+    c1, r1, c2, r2 = cell_range(selected)
+    asked, filtered = column_index(column), column_index(where) if where else None
+    if not c1 <= asked <= c2 or filtered is not None and not c1 <= filtered <= c2:
+        raise ValueError("the column lies outside the range")
+    if low is not None and high is not None and low > high:
+        raise ValueError("the lower bound is above the upper one")
+    inside = rows.filter(F.col("row_number").between(r1, r2))
+    is_label = (F.col("row_number") == r1) if header else F.lit(False)
+    keep = in_bounds(F.get("cells", F.lit(filtered - 1)), kind, low, high, order) if filtered is not None else F.lit(True)
+    body = ~is_label
+    matched = body & F.coalesce(keep, F.lit(False))
+    within = F.slice(F.arrays_zip(F.col("cells").alias("value"), F.col("formulas").alias("formula")), c1, c2 - c1 + 1)
+    formulas = F.filter(within, lambda c: c["formula"].isNotNull())
+    value = F.when(matched, number(F.get("cells", F.lit(asked - 1))))
+    label = F.max(F.when(is_label, F.get("cells", F.lit(asked - 1)))) if header else F.lit(column.upper())
+    slim = inside.select(*key, "row_number", "cells", body.alias("_body"), matched.alias("_matched"), value.alias("_v"), F.size(formulas).alias("_f"), F.size(F.filter(formulas, lambda c: c["value"].isNull())).alias("_empty"))
+    out = slim.groupBy(*key).agg(
+        label.alias("label"), F.count_if("_body").alias("rows_scanned"), F.count_if("_matched").alias("rows_matched"), F.count_if(F.col("_body") & ~F.col("_matched")).alias("rows_excluded"),
+        F.count("_v").alias("numeric_values"), F.sum("_f").alias("formulas"), F.sum("_empty").alias("missing_caches"),
+        F.sum("_v").alias("sum"), F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.stddev_samp("_v").alias("stddev"),
+    )
+    return out.withColumn("unit", unit_of(F.coalesce("label", F.lit(""))))
+
+
 def exact_total(rows: DataFrame, cell: str, by: list[str] | None = None, name: str = "total") -> DataFrame:
     """The sum of a column's numbers rounded only once, for each group."""
     return exact_sum(rows.withColumn("_n", number(F.col(cell).cast("string"))), "_n", by or [], name)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text
 from lectern.functions.numbers import iso_date, number
-from lectern.operators import search, structured, windows
-from lectern.plans.text_queries import _CHUNKS, _bm25_sql, chunk_rows, documents, once
+from lectern.operators import reports, search, stored_index, structured, windows
+from lectern.plans.text_queries import _CHUNKS, _STOP, _bm25_sql, _form_sql, chunk_index, documents
 from lectern.sources.tables import table
 from lectern.streaming.ingest import windows_of_files
 
@@ -116,10 +117,10 @@ def best_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """Words and a vector together: both ranked lists fused by reciprocal ranks, once for each place, few of a document."""
-    rows = chunk_rows(spark, folder).select("rowid", "document_id", "locator_type", "locator_value", F.lower("e_text").alias("text"))
-    lexical = search.ranked(search.bm25(rows, "rowid", {"q": TERMS}, {"text": 1.0}), [], "score", "rowid", 200)
+    index = chunk_index(spark, folder)
+    places = index["places"].drop("path")
+    lexical = search.ranked(stored_index.bm25(index, "rowid", {"q": TERMS}, {"text": 1.0}), [], "score", "rowid", 200)
     semantic = search.ranked(_semantic(spark, folder).withColumnRenamed("rid", "rowid"), [], "cosine", "rowid", 200)
-    places = once(rows.drop("text"))
     sizes = places.groupBy("document_id").agg(F.count("*").alias("size"))
     fused = search.fused(lexical, semantic, "rowid").join(places, "rowid").join(sizes, "document_id")
     top = search.diversified(fused, "rowid", "document_id", ["locator_type", "locator_value"], "size", 10)
@@ -131,26 +132,41 @@ def event_stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def self_retrieval(spark: SparkSession, folder: str) -> DataFrame:
-    """For titles of documents: at which rank a search for the title's words finds a document with that very title.
+def _title_hits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The five best documents for the words of each asked title, and the documents that have the title. Asked are the titles
+    of all documents whose id is divisible by 20, against all documents."""
+    rows = documents(spark, folder).select("doc_id", text.search_form(F.col("title")).alias("title"), text.search_form(F.col("text")).alias("text"))
+    titled = rows.filter("title is not null").select(F.col("title").alias("query"), "doc_id")
+    asked = titled.filter("doc_id % 20 = 0").select("query").distinct()
+    terms = asked.select("query", text.query_terms(F.col("query")).alias("terms"))
+    return search.bm25_ranked(rows, "doc_id", terms, {"title": 4.0, "text": 1.0}, 5), titled.join(asked, "query", "left_semi")
 
-    The questions are all titles, against all documents.
-    """
-    from lectern.functions import text
-    from lectern.operators import reports
 
-    rows = documents(spark, folder).select("doc_id", F.lower("title").alias("title"), F.lower("text").alias("text"))
-    expected = rows.filter("title is not null").select(F.col("title").alias("query"), "doc_id")
-    asked = expected.select("query").distinct().select("query", text.keywords(F.regexp_replace("query", "-", " ")).alias("terms"))
-    hits = search.bm25_ranked(rows, "doc_id", asked, {"title": 4.0, "text": 1.0}, 5)
+def self_retrieval(spark: SparkSession, folder: str) -> DataFrame:
+    """For titles of documents: at which rank a search for the title's words finds a document with that very title."""
+    hits, expected = _title_hits(spark, folder)
     return reports.retrieval_quality(hits, expected, "query", "doc_id").select("query", "first_rank", "hit", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 
+def retrieval_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Over all questions of ``self_retrieval``: how many are found, mean reciprocal rank and median rank."""
+    return reports.retrieval_summary(self_retrieval(spark, folder))
+
+
+def title_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the documents that a title finds, those that hold an expected word: the longest of the title, as the text has it."""
+    hits, _ = _title_hits(spark, folder)
+    longest = F.element_at(F.array_sort(text.query_terms(F.col("query")), lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, -1).when(a > b, 1).otherwise(0)), -1)
+    texts = documents(spark, folder).select("doc_id", text.search_form(F.col("text")).alias("text"))
+    held = hits.withColumn("wanted", longest).join(texts, "doc_id").withColumn("held", reports.expected_hit(F.col("text"), F.col("wanted")))
+    return held.groupBy("query").agg(F.count("*").alias("hits"), F.count_if("held").alias("held"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         structured_aggregates, structured_dates, exact_totals, column_profile, preview_rows, cell_values, rolling_extremes, drawdowns, value_changes, filled_histogram, latest_events,
-        activity_runs, carried_values, cosine_topk, best_windows, hybrid_search, event_stream_windows, self_retrieval,
+        activity_runs, carried_values, cosine_topk, best_windows, hybrid_search, event_stream_windows, self_retrieval, retrieval_summary, title_passages,
     )
 }
 
@@ -163,6 +179,18 @@ scored AS (SELECT pos, rid, win_start, win_end, round(list_inner_product(vector:
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY rid ORDER BY cosine DESC, pos) = 1)
 """
 
+_TITLES = (
+    f"""WITH rows AS (SELECT doc_id, {_form_sql("title")} AS title, {_form_sql("text")} AS text FROM documents)"""
+    + _bm25_sql(
+        "rows", "doc_id", f"""SELECT DISTINCT title, term FROM (SELECT title, unnest(regexp_extract_all(title, '[\\p{{L}}\\p{{N}}]+')) AS term FROM rows WHERE title IS NOT NULL AND doc_id % 20 = 0)
+  WHERE term NOT IN ({_STOP})""", {"title": 4.0, "text": 1.0}
+    )
+    + """, hits AS (SELECT query, k, row_number() OVER (PARTITION BY query ORDER BY score DESC, k) AS rank FROM scores QUALIFY rank <= 5),
+quality AS (SELECT a.title AS query, min(h.rank) AS first_rank FROM (SELECT DISTINCT title FROM rows WHERE title IS NOT NULL AND doc_id % 20 = 0) a
+  LEFT JOIN (SELECT query, rank FROM hits JOIN rows ON doc_id = k AND rows.title = query) h ON h.query = a.title GROUP BY 1)
+"""
+)
+
 ORACLES = {
     "structured_aggregates": """
 SELECT count(*) AS rows_scanned, count(*) FILTER (l_quantity BETWEEN 10 AND 40) AS rows_matched, count(*) FILTER (NOT l_quantity BETWEEN 10 AND 40) AS rows_filtered_out,
@@ -213,7 +241,7 @@ WITH c AS (SELECT q.vec_id AS query, r.vec_id, list_cosine_similarity(q.embeddin
 SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank, round(cosine, 5) AS cosine FROM c QUALIFY rank <= 10""",
     "best_windows": "WITH one AS (SELECT 1)" + _SEMANTIC + "SELECT rid, cosine, win_start, win_end FROM best WHERE cosine >= 0.25",
     "hybrid_search": _CHUNKS
-    + ", rows AS (SELECT rid, document_id, locator_type, locator_value, lower(e_text) AS text FROM t)"
+    + ", rows AS (SELECT rid, document_id, locator_type, locator_value, " + _form_sql("e_text") + " AS text FROM t)"
     + _bm25_sql("rows", "rid", {"q": TERMS}, {"text": 1.0})
     + _SEMANTIC
     + """, lex AS (SELECT k AS rid, row_number() OVER (ORDER BY score DESC, k) AS r FROM scores QUALIFY r <= 200),
@@ -223,5 +251,12 @@ j AS (SELECT f.*, document_id, locator_type, locator_value FROM f JOIN rows USIN
 once AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY document_id, locator_type, locator_value ORDER BY score DESC, rid) = 1),
 turns AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, rid) > CASE WHEN (SELECT count(*) FROM rows x WHERE x.document_id = once.document_id) > 200 THEN 1 ELSE 4 END AS later FROM once)
 SELECT rid AS rowid, document_id, lexical_rank, semantic_rank, round(score, 8) AS score FROM (SELECT * FROM turns ORDER BY later, score DESC, rid LIMIT 10)""",
+    "self_retrieval": _TITLES + "SELECT query, first_rank, first_rank IS NOT NULL AS hit, round(coalesce(1 / first_rank, 0), 6) AS reciprocal_rank FROM quality",
+    "retrieval_summary": _TITLES
+    + """SELECT count(*) AS questions, count(first_rank) AS found, round(count(first_rank) / count(*), 6) AS hit_rate, round(avg(coalesce(1 / first_rank, 0)), 6) AS mean_reciprocal_rank,
+  median(first_rank) AS median_rank FROM quality""",
+    "title_passages": _TITLES
+    + """, wanted AS (SELECT query, arg_max(term, struct_pack(n := length(term), t := term)) AS w FROM asked GROUP BY query)
+SELECT query, count(*) AS hits, count(*) FILTER (contains(text, w)) AS held FROM hits JOIN wanted USING (query) JOIN rows ON doc_id = k GROUP BY query""",
     "event_stream_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import paths, text
-from lectern.operators import chunking, claims, reports, search
+from lectern.operators import chunking, claims, reports, search, stored_index, structured
 from lectern.plans.archive_queries import _LAST, last_sources
+from lectern.session import checkpoint_dir
 from lectern.sources.archive import line_blocks
 from lectern.sources.tables import table, with_evidence
 
@@ -99,6 +103,14 @@ def ledger_profile(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("year").agg(F.count("*").alias("n"), F.count("close").alias("numeric"), F.round(F.avg("close"), 6).alias("mean_close"), F.min("close").alias("low"), F.max("close").alias("high"))
 
 
+def table_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """For each chunk that holds a delimited table: the closing values (column C) of its rows within a range of dates."""
+    texts = once(chunk_rows(spark, folder).filter((F.col("locator_type") == "line_range") & F.col("e_text").rlike(r"(?m)^\d{4}-\d{2}-\d{2},")).select("rowid", "e_text"))
+    rows = structured.delimited_lines(texts, ["rowid"], "e_text")
+    out = structured.answer(rows, ["rowid"], "C", "A1:D400", True, "A", "date", "2021-01-01T00:00:00", "2023-12-31T00:00:00")
+    return out.select("rowid", "rows_scanned", "rows_matched", "rows_excluded", "numeric_values", "formulas", "min", "max", *[F.round(c, 6).alias(c) for c in ("sum", "mean", "stddev")])
+
+
 def phrase_filter(spark: SparkSession, folder: str) -> DataFrame:
     found = search.literal_phrase("Must Be Tested Against", "e_text", "e_source_path")
     return once(chunk_rows(spark, folder, "source_path").filter(found).select("rowid", "document_id"))
@@ -142,34 +154,48 @@ def term_postings(spark: SparkSession, folder: str) -> DataFrame:
     return search.postings(rows, "doc_id", ["title", "text"]).groupBy("term").agg(F.count_distinct("doc_id").alias("documents"), F.sum("tf").alias("occurrences"))
 
 
-def _searched(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks as they are searched here: own path as title, course and term as context, and the text, in lower case."""
-    rows = chunk_rows(spark, folder, "source_path", "course", "term", "content_role")
-    context = F.concat_ws(" ", "e_course", "e_term", "e_content_role")
-    title = paths.name(F.coalesce("e_source_path", F.lit("")))
-    return rows.select("rowid", "document_id", "locator_type", "locator_value", F.lower(title).alias("title"), F.lower(context).alias("context"), F.lower("e_text").alias("text"))
+def chunk_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The stored index over the chunks of a folder: own path as title, course, term and role as context, and the text, in
+    search form. It is made once and read by every search until the chunks change."""
+
+    def make() -> dict[str, DataFrame]:
+        rows = chunk_rows(spark, folder, "source_path", "course", "term", "content_role")
+        context = F.concat_ws(" ", "e_course", "e_term", "e_content_role")
+        title = paths.name(F.coalesce("e_source_path", F.lit("")))
+        formed = [text.search_form(c).alias(n) for n, c in (("title", title), ("context", context), ("text", F.col("e_text")))]
+        return stored_index.tables(rows.select("rowid", "document_id", "locator_type", "locator_value", F.col("e_source_path").alias("path"), *formed), "rowid", list(search.WEIGHTS), PLACE)
+
+    root = f"{checkpoint_dir(spark)}/indexes/{sha256(folder.encode()).hexdigest()}"
+    return stored_index.fresh(spark, root, f"{folder}/chunks.parquet", make)
+
+
+PLACE = ("document_id", "locator_type", "locator_value", "path")
+
+
+def index_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """What the stored index holds: records, distinct terms, postings, and words in each field."""
+    index = chunk_index(spark, folder)
+    posted = index["postings"].agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"), F.sum("title").alias("in_titles"), F.sum("text").alias("in_texts"))  # one row
+    return index["corpus"].join(F.broadcast(posted), F.lit(True)).select("records", "terms", "postings", "in_titles", "in_texts", "size_title", "size_context", "size_text")
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best chunks for each of several questions."""
-    scores = search.bm25(_searched(spark, folder), "rowid", TERMS)
+    scores = stored_index.bm25(chunk_index(spark, folder), "rowid", TERMS, search.WEIGHTS)
     return search.ranked(scores, ["query"], "score", "rowid", 10).select("query", "rowid", "rank", F.round("score", 6).alias("score"))
 
 
 def filtered_bm25(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: the best chunks of lectures of some courses for a question, once for each place, few of a document,
     with their citation. Scores use the statistics of all chunks."""
-    rows = _searched(spark, folder)
+    index = chunk_index(spark, folder)
     allowed = search.matching_sources(last_sources(spark, folder), {"content_type": ["lecture", "reading"], "review": "not_reviewed"}).select("document_id").distinct()
-    scores = search.bm25(rows, "rowid", {"measure": TERMS["measure"]}).select("rowid", "score")
-    places = once(rows.select("rowid", "document_id", "locator_type", "locator_value"))
-    eligible = places.join(allowed, "document_id", "left_semi")
-    sizes = places.groupBy("document_id").agg(F.count("*").alias("size"))
-    best = search.ranked(eligible.join(scores, "rowid"), [], "score", "rowid", 200).join(sizes, "document_id")
+    sizes = index["places"].groupBy("document_id").agg(F.count("*").alias("size"))
+    eligible = index["places"].join(allowed, "document_id", "left_semi")
+    scores = stored_index.bm25(index, "rowid", {"measure": TERMS["measure"]}, search.WEIGHTS, eligible).select("rowid", "score")
+    best = search.ranked(scores, [], "score", "rowid", 200).join(eligible, "rowid").join(sizes, "document_id")
     top = search.diversified(best, "rowid", "document_id", ["locator_type", "locator_value"], "size", 10)
-    named = with_evidence(table(spark, folder, "chunks"), "source_path").select("rowid", F.col("e.source_path").alias("path"))
-    hydrated = top.join(named, "rowid").dropDuplicates(["rowid"])  # texts of the winners only
-    return hydrated.select("rowid", "document_id", F.round("score", 6).alias("score"), search.citation(F.col("path"), F.col("locator_type"), F.col("locator_value")).alias("citation"))
+    return top.select("rowid", "document_id", F.round("score", 6).alias("score"), search.citation(F.col("path"), F.col("locator_type"), F.col("locator_value")).alias("citation"))
 
 
 def search_form(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,8 +237,8 @@ def follow_up_questions(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        whitespace_normalised, line_range_blocks, chunk_split, chunk_identities, token_windows, probe_queries, keyword_lists, question_kinds, header_units, ledger_profile, phrase_filter,
-        quotations, excerpts, locator_counts, largest_documents, recognition_quality, citations, term_postings, bm25_topk, filtered_bm25, search_form, rank_fusion, claim_checks, follow_up_questions,
+        whitespace_normalised, line_range_blocks, chunk_split, chunk_identities, token_windows, probe_queries, keyword_lists, question_kinds, header_units, ledger_profile, table_answers, phrase_filter,
+        quotations, excerpts, locator_counts, largest_documents, recognition_quality, citations, term_postings, index_statistics, bm25_topk, filtered_bm25, search_form, rank_fusion, claim_checks, follow_up_questions,
     )
 }
 
@@ -234,12 +260,13 @@ _FIRSTS = "list_filter({l}, lambda x, i: list_position({l}, x) = i)"
 _CITE = "list_last(string_split({p}, '/')) || ' · ' || CASE locator_type WHEN 'pdf_page' THEN 'p.' WHEN 'pptx_slide' THEN 'slide' WHEN 'line_range' THEN 'lines' WHEN 'notebook_cell' THEN 'cell' ELSE locator_type END || ' ' || coalesce(locator_value, '')"
 
 
-def _bm25_sql(rows: str, key: str, queries: dict[str, list[str]], weights: dict[str, float]) -> str:
-    """Scores as SQL: ``scores`` (query, key, score) from the relation ``rows`` with the fields."""
-    pairs = ", ".join(f"('{q}', '{t}')" for q, ts in queries.items() for t in ts)
+def _bm25_sql(rows: str, key: str, queries: dict[str, list[str]] | str, weights: dict[str, float]) -> str:
+    """Scores as SQL: ``scores`` (query, key, score) from the relation ``rows`` with the fields. ``queries`` may be SQL for pairs
+    of query and term."""
+    pairs = queries if isinstance(queries, str) else "VALUES " + ", ".join(f"('{q}', '{t}')" for q, ts in queries.items() for t in ts)
     fields = " UNION ALL ".join(f"SELECT {key} AS k, {w} AS weight, unnest(regexp_extract_all(coalesce({f}, ''), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {rows}" for f, w in weights.items())
     return f"""
-, tokens AS ({fields}), asked(query, term) AS (VALUES {pairs}),
+, tokens AS ({fields}), asked(query, term) AS ({pairs}),
 sizes AS (SELECT r.{key} AS k, coalesce(n, 0) AS size FROM {rows} r LEFT JOIN (SELECT k, count(*) AS n FROM tokens GROUP BY k) s ON s.k = r.{key}),
 corpus AS (SELECT count(*) AS records, avg(size) AS mean_size FROM sizes),
 tfs AS (SELECT k, term, sum(weight) AS tf FROM tokens WHERE term IN (SELECT term FROM asked) GROUP BY k, term),
@@ -249,10 +276,22 @@ scores AS (SELECT query, k, sum(greatest(1e-6, ln((records - df + 0.5) / (df + 0
 """
 
 
+#: Mathematical letters with the plain ones that they are compared as, as SQL has no compatibility forms.
+_MATH = [(c, unicodedata.normalize("NFKD", c)) for c in map(chr, range(0x1D400, 0x1D6A4)) if len(unicodedata.normalize("NFKD", c)) == 1 and unicodedata.normalize("NFKD", c) != c]
+
+
+def _form_sql(x: str) -> str:
+    """The search form as SQL, for the letters that the tables have."""
+    x = f"translate({x}, '{''.join(c for c, _ in _MATH)}', '{''.join(p for _, p in _MATH)}')"
+    for letter, name in text.GREEK.items():
+        x = f"regexp_replace({x}, '[{letter}{letter.upper()}]', ' {name} ', 'g')"
+    return rf"regexp_replace(strip_accents(lower({x})), '[_/\\\-–—]+', ' ', 'g')"
+
+
 _SEARCHED = (
     _CHUNKS
-    + """, rows AS (SELECT rid, document_id, locator_type, locator_value, path, lower(list_last(string_split(coalesce(path, ''), '/'))) AS title,
-  lower(concat_ws(' ', e_course, e_term, e_role)) AS context, lower(e_text) AS text FROM t)"""
+    + f""", rows AS (SELECT rid, document_id, locator_type, locator_value, path, {_form_sql("list_last(string_split(coalesce(path, ''), '/'))")} AS title,
+  {_form_sql("concat_ws(' ', e_course, e_term, e_role)")} AS context, {_form_sql("e_text")} AS text FROM t)"""
 )
 _TRIMMED = "trim(regexp_replace(trim({x}), '^#+', ''))"
 
@@ -347,6 +386,24 @@ SELECT doc_id, sha256(b.text[s + 1:s + 2300]) AS excerpt, sha256(b.text[a + 1:a
     "term_postings": r"""
 WITH x AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(coalesce(lower(title), ''), '[\p{L}\p{N}]+'), regexp_extract_all(coalesce(lower(text), ''), '[\p{L}\p{N}]+'))) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM x GROUP BY term""",
+    "table_answers": _CHUNKS
+    + r"""
+, l AS (SELECT rid, unnest(string_split(regexp_replace(e_text, '\r\n?', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(e_text, '\r\n?', chr(10), 'g'), chr(10)), 1) AS n
+  FROM t WHERE locator_type = 'line_range' AND regexp_matches(e_text, '(^|\n)\d{4}-\d{2}-\d{2},')),
+c AS (SELECT rid, n, string_split(line, ',') AS c FROM l WHERE line <> '' AND n <= 400),
+v AS (SELECT rid, n > 1 AS body, CASE WHEN regexp_matches(c[1], '^\d{4}-\d{2}-\d{2}($|[ T])') THEN TRY_CAST(c[1] AS TIMESTAMP) END AS d, TRY_CAST(c[3] AS DOUBLE) AS x FROM c),
+m AS (SELECT *, body AND coalesce(d BETWEEN '2021-01-01' AND '2023-12-31', false) AS m FROM v)
+SELECT rid AS rowid, count(*) FILTER (body) AS rows_scanned, count(*) FILTER (m) AS rows_matched, count(*) FILTER (body AND NOT m) AS rows_excluded, count(x) FILTER (m) AS numeric_values, 0 AS formulas,
+  min(x) FILTER (m) AS "min", max(x) FILTER (m) AS "max", round(sum(x) FILTER (m), 6) AS "sum", round(avg(x) FILTER (m), 6) AS mean, round(stddev_samp(x) FILTER (m), 6) AS stddev
+FROM m GROUP BY rid""",
+    "search_form": f"""
+WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all({_form_sql("title")}, '[\\p{{L}}\\p{{N}}]+'))) AS term FROM documents WHERE title IS NOT NULL)
+SELECT term, count(*) AS titles FROM t WHERE term NOT IN ({_STOP}) GROUP BY term""",
+    "index_statistics": _SEARCHED
+    + """, w AS (SELECT rid, regexp_extract_all(title, '[\\p{L}\\p{N}]+') AS a, regexp_extract_all(context, '[\\p{L}\\p{N}]+') AS b, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS c FROM rows),
+p AS (SELECT rid, unnest(list_concat(a, b, c)) AS term FROM w)
+SELECT (SELECT count(*) FROM w) AS records, (SELECT count(DISTINCT term) FROM p) AS terms, (SELECT count(*) FROM (SELECT DISTINCT rid, term FROM p)) AS postings,
+  sum(len(a))::BIGINT AS in_titles, sum(len(c))::BIGINT AS in_texts, sum(len(a))::BIGINT AS size_title, sum(len(b))::BIGINT AS size_context, sum(len(c))::BIGINT AS size_text FROM w""",
     "bm25_topk": _SEARCHED
     + _bm25_sql("rows", "rid", TERMS, search.WEIGHTS)
     + "SELECT query, k AS rowid, row_number() OVER (PARTITION BY query ORDER BY score DESC, k) AS rank, round(score, 6) AS score FROM scores QUALIFY rank <= 10",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import tempfile
 from uuid import uuid4
 
@@ -55,10 +56,14 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` computed now and written as a table in the shared folder: later uses read it, also after executors are lost.
 
     The shuffle files of the computation are removed once the table is written. Give the table to ``release`` when it is
-    no longer needed; ``clean_up`` removes all that a session has left.
+    no longer needed; ``clean_up`` removes all that a session has left, at the latest when the program ends.
     """
     spark = df.sparkSession
-    place = f"{_own_folder(spark)}/{uuid4().hex}"
+    folder = _own_folder(spark)
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_last_clean_up, spark)
+    place = f"{folder}/{uuid4().hex}"
     before = spark.conf.get(FREE_SHUFFLES, "false")
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
@@ -70,6 +75,15 @@ def durable(df: DataFrame) -> DataFrame:
     return written
 
 
+_FOLDERS: set[str] = set()
+
+
+def _last_clean_up(spark: SparkSession) -> None:
+    """``clean_up`` at the end of the program, if its session is still there."""
+    with contextlib.suppress(Exception):
+        clean_up(spark)
+
+
 def _delete(spark: SparkSession, place: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -84,8 +98,3 @@ def release(*tables: DataFrame) -> None:
 def clean_up(spark: SparkSession) -> None:
     """Deletes every durable table of this session: for the end of a program, when all its results are written."""
     _delete(spark, _own_folder(spark))
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

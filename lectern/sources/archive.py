@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import io
 import json
+import posixpath
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -19,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import paths
+from lectern.operators.structured import column_index, column_letter
 
 #: Bounds of nested archives and of workbooks.
 MOST_DEPTH, MOST_MEMBERS, MEMBER_BYTES, ALL_BYTES, MOST_RATIO = 2, 1000, 25 * 2**20, 100 * 2**20, 200
 BOOK_MEMBERS, BOOK_BYTES, BOOK_MEMBER_BYTES, BOOK_RATIO = 10_000, 256 * 2**20, 64 * 2**20, 500
+MOST_RECORDS, LISTED = 5000, 500
 LINES, SLICE, ROWS, ROW_CHARS = 180, 3500, 40, 12_000
 
 RECORD = "record_type string, locator_type string, locator_value string, text string, error string"
@@ -117,13 +121,13 @@ def needs_recognition(text: str, least: int = 24):
 
 def recognised_words(tables: DataFrame, key: str, tsv: str) -> DataFrame:
     """Words of a recogniser's tab-separated report: ``key``, ``words`` (text, confidence, box) and mean ``confidence``."""
-    line = F.explode(F.slice(F.split(tsv, "\n"), 2, F.greatest(F.lit(0), F.size(F.split(tsv, "\n")) - 1)))
-    cell = F.split("line", "\t")
-    rows = tables.select(key, line.alias("line")).select(key, cell.alias("c")).filter((F.size("c") >= 12) & (F.trim(F.get("c", F.lit(11))) != ""))
+    lines = F.slice(F.split(tsv, "\n"), 2, F.greatest(F.lit(0), F.size(F.split(tsv, "\n")) - 1))
+    rows = tables.select(key, F.posexplode(lines).alias("n", "line")).select(key, "n", F.split("line", "\t").alias("c")).filter((F.size("c") >= 12) & (F.trim(F.get("c", F.lit(11))) != ""))
     box = F.array(*[F.get("c", F.lit(i)).try_cast("int") for i in (6, 7, 8, 9)])
-    word = rows.select(key, F.struct(F.get("c", F.lit(5)).try_cast("int").alias("n"), F.get("c", F.lit(11)).alias("text"), F.get("c", F.lit(10)).try_cast("double").alias("confidence"), box.alias("box")).alias("w"))
+    word = rows.select(key, F.struct("n", F.get("c", F.lit(11)).alias("text"), F.get("c", F.lit(10)).try_cast("double").alias("confidence"), box.alias("box")).alias("w"))
     word = word.filter("w.confidence >= 0")
-    gathered = word.groupBy(key).agg(F.collect_list("w").alias("words"), F.bround(F.avg("w.confidence"), 1).alias("confidence"))
+    # The place in the report orders the words, whatever way they come together. A report is one page.
+    gathered = word.groupBy(key).agg(F.array_sort(F.collect_list("w")).alias("words"), F.bround(F.avg("w.confidence"), 1).alias("confidence"))
     return gathered.withColumn("words", F.transform("words", lambda w: F.struct(w["text"], w["confidence"], w["box"])))
 
 
@@ -153,13 +157,37 @@ def dataset_catalog(found: DataFrame) -> DataFrame:
 # Packed files
 
 
+def member_problem(info: zipfile.ZipInfo) -> str | None:
+    """Why a member is refused: a name that could lead out of its folder or means different places on different systems, a
+    link, encryption, or a size beyond the bounds. None if it is safe."""
+    name = info.filename
+    if not name or name.startswith("/") or ".." in name.split("/") or re.search(r"[\\:\x00-\x1f]", name):
+        return "unsafe name"
+    if info.flag_bits & 1 or (info.external_attr >> 16) & 0o170000 == 0o120000:
+        return "link or encrypted"
+    if info.file_size > MEMBER_BYTES or info.file_size > max(1, info.compress_size) * MOST_RATIO:
+        return "too large or too densely packed"
+    return None
+
+
 def safe_member(info: zipfile.ZipInfo) -> bool:
-    """Whether a member stays below its folder, is a plain unencrypted file, and is not a bomb."""
-    name = info.filename.replace("\\", "/")
-    link = (info.external_attr >> 16) & 0o170000 == 0o120000
-    outside = name.startswith("/") or ".." in name.split("/") or re.match(r"^[A-Za-z]:", name) is not None
-    bomb = info.file_size > MEMBER_BYTES or info.file_size > max(1, info.compress_size) * MOST_RATIO
-    return not (outside or link or info.flag_bits & 1 or bomb)
+    return member_problem(info) is None
+
+
+def member_bytes(content: bytes, chain: list[str]) -> bytes:
+    """The bytes of the member that ``chain`` names, through archives within archives. A name that is missing, ambiguous or
+    unsafe is an error."""
+    if not 1 <= len(chain) <= MOST_DEPTH + 1:
+        raise ValueError("a chain names one to three members")
+    for name in chain:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            infos = [i for i in archive.infolist() if i.filename == name]
+            if len(infos) != 1:
+                raise ValueError("missing or ambiguous member")
+            if problem := member_problem(infos[0]):
+                raise ValueError(problem)
+            content = archive.read(infos[0])
+    return content
 
 
 def safe_workbook(archive: zipfile.ZipFile) -> None:
@@ -171,96 +199,187 @@ def safe_workbook(archive: zipfile.ZipFile) -> None:
 
 
 def zip_members(content: bytes) -> Iterator[tuple]:
-    """Each safe member's text, or what is wrong with it; archives within are opened, two deep."""
-    budget = {"members": 0, "bytes": 0}
+    """A catalog of the archive's first members, and each safe member's records by the extractor of its own kind, or what is
+    wrong with it. Archives within are opened, two deep. Members, bytes and records are bounded for the whole archive."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        listed = [f"{i.filename}\t{i.file_size}" for i in archive.infolist()[:LISTED]]
+    yield ("catalog", "document", "", "\n".join(listed), None)
+    left = {"members": MOST_MEMBERS, "bytes": ALL_BYTES, "records": MOST_RECORDS}
+
+    def own_records(name: str, data: bytes, where: str, depth: int) -> Iterator[tuple]:
+        kind = paths.route_of(name)
+        if kind == "archive":
+            yield from walk(data, where, depth + 1) if depth < MOST_DEPTH else [("error", "archive_member", where, "", "nested too deep")]
+        elif kind in ("text", "markdown", "source_code", "dataset", "notebook"):
+            yield ("text", "archive_member", where, data.decode("utf-8", "replace"), None)
+        elif kind in EXTRACTORS:
+            for record, _, value, text, error in EXTRACTORS[kind](data):
+                yield (record, "archive_member", f"{where}#{value}" if value else where, text, error)
+        else:
+            yield ("unsupported", "archive_member", where, "", "no extractor for this kind of member")
 
     def walk(data: bytes, chain: str, depth: int) -> Iterator[tuple]:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            names = Counter(archive.namelist())
             for info in archive.infolist():
-                if info.is_dir():
+                folders = info.filename.split("/")
+                if info.is_dir() or "__MACOSX" in folders or folders[-1].startswith("."):
                     continue
                 where = f"{chain}!{info.filename}" if chain else info.filename
-                budget["members"] += 1
-                if budget["members"] > MOST_MEMBERS:
-                    yield ("error", "archive_member", where, "", "too many members")
+                left["members"] -= 1
+                if left["members"] < 0 or left["records"] <= 0:
+                    yield ("error", "archive_member", where, "", "too many members or records")
                     return
-                if not safe_member(info) or budget["bytes"] + info.file_size > ALL_BYTES:
-                    yield ("error", "archive_member", where, "", "unsafe or too large")
+                problem = member_problem(info) or ("a name twice" if names[info.filename] > 1 else "too large in all" if info.file_size > left["bytes"] else None)
+                if problem:
+                    yield ("error", "archive_member", where, "", problem)
                     continue
-                own = archive.read(info)
-                budget["bytes"] += len(own)
-                if info.filename.lower().endswith(".zip"):
-                    if depth < MOST_DEPTH:
-                        yield from walk(own, where, depth + 1)
-                    else:
-                        yield ("error", "archive_member", where, "", "nested too deep")
-                else:
-                    yield ("text", "archive_member", where, own.decode("utf-8", "replace") if b"\0" not in own[:1024] else "", None)
+                try:
+                    own = archive.read(info)
+                    left["bytes"] -= len(own)
+                    for record in own_records(info.filename, own, where, depth):
+                        left["records"] -= 1
+                        yield record
+                except Exception as problem:  # a broken member is a record
+                    yield ("error", "archive_member", where, "", str(problem))
 
     yield from walk(content, "", 1)
 
 
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def related(archive: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """What a part of an Office file refers to: for each relationship its kind and the part it leads to."""
+    folder, _, name = part.rpartition("/")
+    listed = f"{folder}/_rels/{name}.rels"
+    if listed not in archive.namelist():
+        return {}
+    out = {}
+    for link in ElementTree.fromstring(archive.read(listed)):
+        target = link.get("Target", "")
+        where = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join(folder, target))
+        out[link.get("Id", "")] = (link.get("Type", "").rpartition("/")[2], where)
+    return out
+
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def docx_blocks(content: bytes) -> Iterator[tuple]:
-    """The paragraphs and table rows of a document, in slices of 3,500 characters."""
+    """The paragraphs and table rows (cells by tabs) of a document, in slices of 3,500 characters."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         safe_workbook(archive)
-        body = ElementTree.fromstring(archive.read("word/document.xml"))
-    lines = ["".join(t.text or "" for t in p.iter(f"{_W}t")) for p in body.iter(f"{_W}p")]
+        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
+
+    def words(element) -> str:
+        return "".join(t.text or "" for t in element.iter(f"{_W}t"))
+
+    lines: list[str] = []
+    for block in body if body is not None else ():
+        if block.tag == f"{_W}tbl":
+            lines += ["\t".join(" ".join(words(p) for p in cell.iter(f"{_W}p")).strip() for cell in row.findall(f"{_W}tc")) for row in block.iter(f"{_W}tr")]
+        else:
+            lines += [words(p) for p in block.iter(f"{_W}p")]
     text = "\n".join(x for x in lines if x.strip())
     for n, begin in enumerate(range(0, len(text), SLICE), 1):
         yield ("text", "docx_block", str(n), text[begin : begin + SLICE].strip(), None)
 
 
 def pptx_slides(content: bytes) -> Iterator[tuple]:
-    """The text of each slide with its speaker notes."""
+    """The text of each slide with its table rows (cells by tabs) and speaker notes, in the order of the presentation; both
+    are found by the file's relationships."""
+
+    def lines(root) -> Iterator[str]:
+        inside = {id(p) for row in root.iter(f"{_A}tr") for p in row.iter(f"{_A}p")}
+        for element in root.iter():
+            if element.tag == f"{_A}tr":
+                yield "\t".join(" ".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in cell.iter(f"{_A}p")).strip() for cell in element.findall(f"{_A}tc"))
+            elif element.tag == f"{_A}p" and id(element) not in inside:
+                yield "".join(t.text or "" for t in element.iter(f"{_A}t"))
+
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         safe_workbook(archive)
-        names = {int(m[1]): m[0] for n in archive.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n))}
-        for n in sorted(names):
-            parts = [names[n], f"ppt/notesSlides/notesSlide{n}.xml"]
-            text = [
-                "\n".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in ElementTree.fromstring(archive.read(part)).iter(f"{_A}p"))
-                for part in parts
-                if part in archive.namelist()
-            ]
-            yield ("text", "pptx_slide", str(n), "\n".join(x for x in text if x.strip()).strip(), None)
-
-
-def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
-    """``(sheet, row number, cells)`` of a workbook; cached values stand for formulas."""
+        links = related(archive, "ppt/presentation.xml")
+        show = ElementTree.fromstring(archive.read("ppt/presentation.xml")) if links else ElementTree.Element("none")
+        slides = [links[i.get(f"{_R}id")][1] for i in show.iter(f"{_P}sldId") if i.get(f"{_R}id") in links]
+        for n, slide in enumerate(slides, 1):
+            notes = [where for kind, where in related(archive, slide).values() if kind == "notesSlide"]
+            text = [line for part in (slide, *notes) for line in lines(ElementTree.fromstring(archive.read(part))) if line.strip()]
+            yield ("text", "pptx_slide", str(n), "\n".join(text).strip(), None)
+
+
+def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None], list[str | None]]]:
+    """``(sheet, row number, cells, formulas)`` of a workbook, its sheets found by the file's relationships. A cell with a
+    formula has its cached value, or null if none was stored; formulas are never evaluated."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         safe_workbook(archive)
         names = archive.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-        titles = [s.get("name") for s in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_S}sheet")]
-        for n, title in enumerate(titles, 1):
-            if (part := f"xl/worksheets/sheet{n}.xml") not in names:
+        links = related(archive, "xl/workbook.xml")
+        for sheet in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_S}sheet"):
+            kind, part = links.get(sheet.get(f"{_R}id", ""), ("", ""))
+            if kind != "worksheet" or part not in names:
                 continue
             for row in ElementTree.fromstring(archive.read(part)).iter(f"{_S}row"):
                 cells: list[str | None] = []
+                formulas: list[str | None] = []
                 for c in row.iter(f"{_S}c"):
-                    letters = re.match(r"[A-Z]+", c.get("r", "") or "A")
-                    at = 0
-                    for letter in letters[0] if letters else "A":
-                        at = at * 26 + ord(letter) - 64
+                    letters = re.match(r"[A-Z]+", c.get("r", ""))
+                    at = column_index(letters[0]) if letters else len(cells) + 1
                     cells += [None] * (at - len(cells))
-                    value, inline = c.find(f"{_S}v"), c.find(f"{_S}is")
+                    formulas += [None] * (at - len(formulas))
+                    value, inline, formula = c.find(f"{_S}v"), c.find(f"{_S}is"), c.find(f"{_S}f")
                     text = value.text if value is not None else "".join(t.text or "" for t in inline.iter(f"{_S}t")) if inline is not None else None
                     cells[at - 1] = shared[int(text)] if c.get("t") == "s" and text is not None else text
-                yield title, int(row.get("r", 0)), cells
+                    formulas[at - 1] = None if formula is None else f"={formula.text or ''}"
+                yield sheet.get("name", ""), int(row.get("r", 0)), cells, formulas
+
+
+def delimited_rows(content: bytes, separator: str) -> Iterator[tuple[str, int, list[str | None], list[str | None]]]:
+    """The records of delimited text as ``sheet_rows`` has those of a workbook; a quoted cell may hold line ends."""
+    import csv
+
+    for n, cells in enumerate(csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""), delimiter=separator), 1):
+        yield "Data", n, cells, [None] * len(cells)
+
+
+def table_rows(found: DataFrame) -> DataFrame:
+    """``path``, ``sheet``, ``row_number``, ``cells`` and ``formulas`` of every row of delimited files and workbooks: what
+    ``operators.structured.answer`` asks. A file that can't be read gives no rows; ``extracted`` has its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "sheet", "row_number", "cells", "formulas"]
+        for rows in batches:
+            for path, way, content in zip(rows["path"], rows["route"], rows["content"]):
+                held = []
+                try:
+                    read = sheet_rows(bytes(content)) if way == "spreadsheet" else delimited_rows(bytes(content), "\t" if path.lower().endswith(".tsv") else ",")
+                    for row in read:
+                        held.append((path, *row))
+                        if len(held) == 10_000:
+                            yield pd.DataFrame(held, columns=columns)
+                            held = []
+                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+                    held = []
+                yield pd.DataFrame(held, columns=columns)
+
+    tables = found.withColumn("route", paths.route(F.col("path"))).filter("route in ('spreadsheet', 'dataset')").select("path", "route", "content")
+    return tables.mapInPandas(run, "path string, sheet string, row_number long, cells array<string>, formulas array<string>")
+
+
+def sheets(rows: DataFrame) -> DataFrame:
+    """The sheets of ``table_rows``: their last row and greatest width."""
+    return rows.groupBy("path", "sheet").agg(F.max("row_number").alias("rows"), F.max(F.size("cells")).alias("columns"))
 
 
 def spreadsheet_ranges(content: bytes) -> Iterator[tuple]:
     """Batches of rows as ``Sheet!A1:D40`` with the cells tab-separated: 40 rows, or fewer if they are long."""
-    from lectern.operators.structured import column_letter
-
     batch: list[tuple[int, str, int]] = []
     sheet = None
 
@@ -270,7 +389,7 @@ def spreadsheet_ranges(content: bytes) -> Iterator[tuple]:
             yield ("text", "spreadsheet_range", f"{sheet}!A{batch[0][0]}:{last}{batch[-1][0]}", "\n".join(t for _, t, _ in batch), None)
             batch.clear()
 
-    for title, number, cells in sheet_rows(content):
+    for title, number, cells, _ in sheet_rows(content):
         if title != sheet:
             yield from flush()
             sheet = title

@@ -40,16 +40,19 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"could not put {path} in place")
 
 
-def publish_generation(spark: SparkSession, root: str, tables: dict[str, DataFrame], check: Callable[[dict[str, DataFrame]], None] | None = None) -> str:
+def publish_generation(
+    spark: SparkSession, root: str, tables: dict[str, DataFrame], check: Callable[[dict[str, DataFrame]], None] | None = None, partition_by: dict[str, list[str]] | None = None, more: dict | None = None
+) -> str:
     """Writes ``tables`` as a new generation below ``root`` and lets the pointer name it once all are written and ``check``
-    has accepted what was read back. If anything fails, readers keep the generation they had."""
+    has accepted what was read back. If anything fails, readers keep the generation they had. ``partition_by`` names the
+    columns by which a table lies in folders; ``more`` goes into the report."""
     name = uuid4().hex
     for table, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{root}/generations/{name}/{table}")
+        df.write.mode("errorifexists").partitionBy((partition_by or {}).get(table, [])).parquet(f"{root}/generations/{name}/{table}")
     written = {table: spark.read.parquet(f"{root}/generations/{name}/{table}") for table in tables}
     if check:
         check(written)
-    report = {"generation": name, "rows": {table: df.count() for table, df in written.items()}}
+    report = {**(more or {}), "generation": name, "rows": {table: df.count() for table, df in written.items()}}
     _write_text(spark, f"{root}/{POINTER}", json.dumps(report))
     return name
 

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import chunking, search, windows
+from lectern.operators import chunking, search, structured, windows
 from lectern.sources import archive
 
 
@@ -18,22 +18,30 @@ def zipped(members):
     return data.getvalue()
 
 
+REL = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+CELL = "<w:tc><w:p><w:r><w:t>{}</w:t></w:r></w:p></w:tc>"
+DOCX = zipped({"word/document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>Hello</w:t></w:r></w:p><w:tbl><w:tr>{CELL.format('a')}{CELL.format('b')}</w:tr></w:tbl></w:body></w:document>"})
+
+
 @pytest.fixture(scope="module")
 def root(tmp_path_factory):
     base = tmp_path_factory.mktemp("archive")
-    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     files = {
         "Fall 2029/C1 - One/lectures/a.txt": b"# Head\none\ntwo\n",
         "Fall 2029/C1 - One/lectures/B.txt": b"# Head\none\ntwo\n",
         "Fall 2029/C1 - One/code/n.ipynb": json.dumps({"cells": [{"cell_type": "code", "source": ["x = 1\n", "y"]}, {"cell_type": "markdown", "source": []}]}).encode(),
         "Program-wide/data/t.csv": b"Date,Price (USD)\n2026-01-01,10\n\n2026-01-02,20\n",
-        "Program-wide/resources/z.zip": zipped({"inner.zip": zipped({"notes.txt": "deep"}), "../escape.txt": "no", "safe.txt": "yes"}),
+        "Program-wide/resources/z.zip": zipped({"inner.zip": zipped({"notes.txt": "deep", "d.docx": DOCX, "p.pdf": b"%PDF\xff"}), "../escape.txt": "no", "safe.txt": "yes", "__MACOSX/x.txt": "no", ".hidden.txt": "no"}),
         "Program-wide/resources/broken.zip": b"not a zip",
-        "Program-wide/resources/d.docx": zipped({"word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>Hello</w:t></w:r></w:p></w:body></w:document>"}),
+        "Program-wide/resources/d.docx": DOCX,
         "Program-wide/resources/s.xlsx": zipped({
-            "xl/workbook.xml": f'<workbook {s}><sheets><sheet name="S"/></sheets></workbook>',
-            "xl/worksheets/sheet1.xml": f'<worksheet {s}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>Value</t></is></c><c r="C1"><v>3</v></c></row></sheetData></worksheet>',
+            "xl/workbook.xml": f'<workbook {s} {REL}><sheets><sheet name="S" r:id="r7"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r7" Type="x/worksheet" Target="worksheets/other.xml"/></Relationships>',
+            "xl/worksheets/sheet1.xml": f'<worksheet {s}><sheetData><row r="1"><c r="A1"><v>9</v></c></row></sheetData></worksheet>',
+            "xl/worksheets/other.xml": f'<worksheet {s}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>Value</t></is></c><c r="C1"><f>1+2</f><v>3</v></c></row>'
+            '<row r="2"><c r="A2"><v>4.5</v></c><c r="C2"><f>A2</f></c></row></sheetData></worksheet>',
         }),
         "Program-wide/x.unknown": b"?",
         ".git/config": b"hidden",
@@ -58,9 +66,12 @@ def test_extracted(spark, root):
     at = {(r.path.split("/")[-1], r.locator_value): r for r in rows}
     assert at["a.txt", "1-3"].text == "# Head\none\ntwo"
     assert at["n.ipynb", "1"].text == "x = 1\ny"
-    assert at["z.zip", "inner.zip!notes.txt"].text == "deep" and at["z.zip", "../escape.txt"].record_type == "error"
+    assert at["z.zip", "inner.zip!notes.txt"].text == "deep" and at["z.zip", "inner.zip!d.docx#1"].text == "Hello\na\tb"
+    assert at["z.zip", "inner.zip!p.pdf"].record_type == "unsupported" and at["z.zip", ""].record_type == "catalog" and "safe.txt\t3" in at["z.zip", ""].text
+    assert not any("MACOSX" in v or "hidden" in v for f, v in at if f == "z.zip")
+    assert at["z.zip", "../escape.txt"].record_type == "error"
     assert at["broken.zip", ""].record_type == "error"
-    assert at["d.docx", "1"].text == "Hello" and at["s.xlsx", "S!A1:C1"].text == "Value\t\t3"
+    assert at["d.docx", "1"].text == "Hello\na\tb" and at["s.xlsx", "S!A1:C2"].text == "Value\t\t3\n4.5"
     assert "Price (USD)" in at["t.csv", ""].text and at["x.unknown", ""].record_type == "unsupported"
 
 
@@ -74,6 +85,66 @@ def test_safe_members():
     assert archive.safe_member(info)
 
 
+@pytest.mark.parametrize("name", ["a\\b.txt", "c:d.txt", "a\x01.txt", "/a.txt", "a/../b.txt", ""])
+def test_unsafe_names(name):
+    info = zipfile.ZipInfo("x")
+    info.filename = name
+    assert archive.member_problem(info) == "unsafe name"
+
+
+def test_member_bytes_and_a_name_twice():
+    data = zipped({"in.zip": zipped({"a/b.txt": "x"})})
+    assert archive.member_bytes(data, ["in.zip", "a/b.txt"]) == b"x"
+    for chain in ([], ["none.txt"], ["in.zip", "a", "b", "c"]):
+        with pytest.raises(ValueError):
+            archive.member_bytes(data, chain)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as twice:
+        twice.writestr("a.txt", "1"), twice.writestr("a.txt", "2")
+    assert [r[4] for r in archive.zip_members(out.getvalue()) if r[0] == "error"] == ["a name twice"] * 2
+
+
+def test_slides_in_the_order_of_the_presentation():
+    p, a = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"', 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    text = "<a:p><a:r><a:t>{}</a:t></a:r></a:p>"
+    cell = f"<a:tc>{text}</a:tc>"
+    data = zipped({
+        "ppt/presentation.xml": f'<p:presentation {p} {REL}><p:sldIdLst><p:sldId r:id="b"/><p:sldId r:id="a"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": '<R><R Id="a" Type="x/slide" Target="slides/slide1.xml"/><R Id="b" Type="x/slide" Target="/ppt/slides/slide2.xml"/></R>',
+        "ppt/slides/slide1.xml": f"<p:sld {p} {a}>{text.format('one')}<a:tr>{cell.format('x')}{cell.format('y')}</a:tr></p:sld>",
+        "ppt/slides/slide2.xml": f"<p:sld {p} {a}>{text.format('two')}</p:sld>",
+        "ppt/slides/_rels/slide2.xml.rels": '<R><R Id="n" Type="x/notesSlide" Target="../notesSlides/notesSlide9.xml"/></R>',
+        "ppt/notesSlides/notesSlide9.xml": f"<p:notes {p} {a}>{text.format('said')}</p:notes>",
+    })
+    assert [(r[2], r[3]) for r in archive.pptx_slides(data)] == [("1", "two\nsaid"), ("2", "one\nx\ty")]
+
+
+def test_questions_to_files(spark, root):
+    rows = archive.table_rows(archive.files(spark, root))
+    assert {(r.path.split("/")[-1], r.sheet, r.rows, r.columns) for r in archive.sheets(rows).collect()} == {("t.csv", "Data", 4, 2), ("s.xlsx", "S", 2, 3)}
+    csv = structured.answer(rows.filter("path like '%.csv'"), ["path"], "B", "A1:B9", where="A", kind="date", low="2026-01-02T00:00:00").first()
+    assert (csv.label, csv.unit, csv.rows_scanned, csv.rows_matched, csv.rows_excluded, csv.numeric_values, csv["sum"], csv.formulas) == ("Price (USD)", "USD", 3, 1, 2, 1, 20.0, 0)
+    book = structured.answer(rows.filter("path like '%.xlsx'"), ["path", "sheet"], "C", header=False).first()
+    assert (book.label, book.rows_scanned, book.numeric_values, book["sum"], book.formulas, book.missing_caches) == ("C", 2, 1, 3.0, 2, 1)
+    for wrong in ({"column": "F", "selected": "A1:B2"}, {"column": "A", "selected": "B2:A1"}, {"column": "A", "where": "A", "low": 3, "high": 2}):
+        with pytest.raises(ValueError):
+            structured.answer(rows, ["path"], **wrong)
+
+
+def test_delimited_lines(spark):
+    df = spark.createDataFrame([(1, '\ufeffa,"b, ""c""",\r\n\n,x'), (2, None), (3, "")], "k long, t string")
+    got = [(r.k, r.row_number, r.cells) for r in structured.delimited_lines(df, ["k"], "t").collect()]
+    assert got == [(1, 1, ["a", 'b, "c"', ""]), (1, 3, ["", "x"])]
+
+
+def test_recognised_words_keep_their_order(spark):
+    head = "level\tpage\tblock\tpar\tline\tword\tleft\ttop\twidth\theight\tconf\ttext"
+    lines = [f"5\t1\t1\t1\t{i // 5}\t{i % 5 + 1}\t{i}\t0\t9\t9\t90.5\tw{i}" for i in range(40)]
+    df = spark.createDataFrame([("p", "\n".join([head, *lines, ""]))], "k string, t string").repartition(3)
+    row = archive.recognised_words(df, "k", "t").first()
+    assert [w.text for w in row.words] == [f"w{i}" for i in range(40)] and row.confidence == 90.5
+
+
 def test_pages_and_recognition(spark):
     df = spark.createDataFrame([("d", "one\ftwo\f", 3), ("e", None, 1)], "k string, t string, n int")
     assert sorted((r.k, r.page_number, r.text) for r in archive.pages(df, "k", "t", "n").collect()) == [("d", 1, "one"), ("d", 2, "two"), ("d", 3, ""), ("e", 1, "")]

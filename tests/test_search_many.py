@@ -16,6 +16,6 @@ def test_many_questions_score_as_few(spark):
     assert found[0] == found[1] and len(found[0]) > 5
 
 
-def test_every_title_is_asked(spark):
-    titles = text_queries.documents(spark, FOLDER).filter("title is not null").select(F.lower("title")).distinct().count()
-    assert table_queries.self_retrieval(spark, FOLDER).count() == titles > 20
+def test_titles_of_every_twentieth_document_are_asked(spark):
+    asked = text_queries.documents(spark, FOLDER).filter("title is not null and doc_id % 20 = 0").select(F.lower("title")).distinct().count()
+    assert table_queries.self_retrieval(spark, FOLDER).count() == asked > 2
