@@ -180,7 +180,38 @@ joint AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM shingles a JOIN shin
 SELECT x AS rowid_a, y AS rowid_b FROM joint JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y WHERE c * 10 >= 7 * (p.n + q.n - c)
 """
 )
+_GROUPS = (
+    _ALIKE.replace("WITH texts", "WITH RECURSIVE texts").replace("SELECT x AS rowid_a, y AS rowid_b FROM joint", ", alike AS (SELECT x, y, c = p.n AND c = q.n AS same FROM joint")
+    + """), edges AS (SELECT x, y, same FROM alike UNION ALL SELECT y, x, same FROM alike),
+reach(x, y) AS (SELECT rid, rid FROM sizes UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y),
+groups AS (SELECT x, min(y) AS group_rowid, count(*) AS group_size FROM reach GROUP BY x),
+degrees AS (SELECT x, count(*) AS links, count(*) FILTER (same) AS same FROM edges GROUP BY x)
+SELECT g.x AS rowid, group_rowid, group_size, 1 + coalesce(same, 0) AS copies, coalesce(links, 0) AS links FROM groups g LEFT JOIN degrees d ON d.x = g.x
+"""
+)
+_WINDOWS = """
+WITH d AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
+w AS (SELECT doc_id, i - 1 AS i, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM d WHERE length(text) >= 200)),
+"""
+_PASSAGES = (
+    _WINDOWS
+    + """p AS (SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b, a.i AS i, b.i - a.i AS shift FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_a, doc_b, shift ORDER BY i) AS run FROM p)
+SELECT doc_a, doc_b, min(i) AS start_a, min(i) + shift AS start_b, max(i) - min(i) + 200 AS length FROM r GROUP BY doc_a, doc_b, shift, run
+"""
+)
+_PARTS = (
+    _WINDOWS
+    + """s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM (SELECT DISTINCT doc_id, i FROM w SEMI JOIN s ON s.h = w.h)),
+n AS (SELECT doc_id, sum(least(200, coalesce(following - i, 200)))::BIGINT AS shared_chars FROM c GROUP BY doc_id)
+SELECT doc_id, length(text) AS chars, shared_chars, round(shared_chars / length(text), 6) AS shared_part FROM n JOIN d USING (doc_id)
+"""
+)
 ORACLES = {
+    "p5_groups": _GROUPS,
+    "p8_spans": _PASSAGES,
+    "p8_shared_parts": _PARTS,
     "p1_found": _TEXTS.replace("SELECT DISTINCT rowid,", 'SELECT DISTINCT chunks."rowid" AS rowid,') + "SELECT DISTINCT rowid FROM texts WHERE length(text) > 3500",
     "p5_found": _ALIKE,
     "p8_found": _SPANS,
