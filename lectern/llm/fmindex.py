@@ -128,8 +128,14 @@ class FMIndex:
         self.marks = WaveletTree((order % SAMPLED == 0).astype(np.int64), 1)
         self.samples = order[order % SAMPLED == 0].astype(np.int32)
         self.shared = shared_lengths(order, key, bits, cap)
-        padded = np.append(self.shared, np.full(-len(self.shared) % _BLOCK, -1, self.shared.dtype))
-        self.lowest = padded.reshape(-1, _BLOCK).min(axis=1)
+        # Least values of blocks, of blocks of blocks and so on, each level in rows of a block.
+        self.lowest = []
+        level = self.shared
+        while True:
+            self.lowest.append(np.append(level, np.full(-len(level) % _BLOCK, -1, level.dtype)).reshape(-1, _BLOCK))
+            level = self.lowest[-1].min(axis=1)
+            if len(level) == 1:
+                break
 
     def places(self, row: np.ndarray) -> np.ndarray:
         """Where in ``codes`` the suffix of each row begins."""
@@ -152,14 +158,28 @@ class FMIndex:
     def _bound(self, place: np.ndarray, length: np.ndarray, step: int) -> np.ndarray:
         """From ``place`` on in the direction of ``step``, the first that shares less than ``length`` with the one before it."""
         place = place.copy()
-        live = np.flatnonzero(self.shared[place] >= length)
-        while len(live):
-            at = place[live] + step
-            # Whole blocks that share as much are passed over.
-            edge = at % _BLOCK == (0 if step > 0 else _BLOCK - 1)
-            skip = edge & (self.lowest[at // _BLOCK] >= length[live])
-            place[live] = np.where(skip, at + step * (_BLOCK - 1), at)
-            live = live[skip | (self.shared[place[live]] >= length[live])]
+        far = np.flatnonzero(self.shared[place] >= length)
+        need, column = length[far], np.arange(_BLOCK)
+
+        def first(low: np.ndarray) -> np.ndarray:
+            return low.argmax(axis=1) if step > 0 else _BLOCK - 1 - low[:, ::-1].argmax(axis=1)
+
+        # Up, until a block further on in the same row holds a lower value; then down to the first of them.
+        live, at, found = np.arange(len(far)), place[far], []
+        for rows in self.lowest:
+            row, inside = at // _BLOCK, (at % _BLOCK)[:, None]
+            low = (rows[row] < need[live][:, None]) & (column > inside if step > 0 else column < inside)
+            has = low.any(axis=1)
+            found.append((live[has], (row * _BLOCK + first(low))[has]))
+            live, at = live[~has], row[~has]
+            if not len(live):
+                break
+        own, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for level in range(len(found) - 1, -1, -1):
+            own, node = np.concatenate([own, found[level][0]]), np.concatenate([node, found[level][1]])
+            if level:
+                node = node * _BLOCK + first(self.lowest[level - 1][node] < need[own][:, None])
+        place[far[own]] = node
         return place
 
     def statistics(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
