@@ -165,10 +165,12 @@ def chunk_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         formed = [text.search_form(c).alias(n) for n, c in (("title", title), ("context", context), ("text", F.col("e_text")))]
         return stored_index.tables(rows.select("rowid", "document_id", "locator_type", "locator_value", F.col("e_source_path").alias("path"), *formed), "rowid", list(search.WEIGHTS), PLACE)
 
-    root = f"{checkpoint_dir(spark)}/indexes/{sha256(folder.encode()).hexdigest()}"
+    root = f"{checkpoint_dir(spark)}/{INDEX_ROOT}/{sha256(folder.encode()).hexdigest()}"
     return stored_index.fresh(spark, root, f"{folder}/chunks.parquet", make)
 
 
+#: Below the shared folder, where indexes of the examples lie.
+INDEX_ROOT = "indexes"
 PLACE = ("document_id", "locator_type", "locator_value", "path")
 
 
