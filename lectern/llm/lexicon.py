@@ -29,7 +29,7 @@ for _read, _meant in CONFUSIONS:
 
 EDITS = 2
 _BAND, _FAR = 2 * EDITS + 1, 99
-_AT_ONCE = 1 << 19
+_AT_ONCE = 1 << 17
 
 
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -38,6 +38,7 @@ RUN_PAGES = 10
 CONFUSION, OTHER, SHORT, AROUND, BELIEVED = 4, 8, 5, 8, -6
 #: Pages that are read together, words of a trie, and unknown words that walk it in a task.
 SHEAF, TRIE_WORDS, MEET = 256, 50_000, 8192
+PAIRS_AT_ONCE = 1 << 17
 BREAKS = "-‐‑­¬"
 
 _WORD = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)*")
@@ -488,11 +489,12 @@ def candidates(tokens: DataFrame, words: DataFrame, trie_words: int = TRIE_WORDS
         out: list[tuple] = []
         if tokens and known:
             trie = lexicon.Trie(list(known))
-            t, w = (x.tolist() for x in trie.within(tokens))
-            read, meant = [tokens[i] for i in t], [trie.words[i] for i in w]
-            for token, word, confusions, others in zip(read, meant, *(x.tolist() for x in lexicon.misreadings(read, meant))):
-                if explained(len(token), confusions, others) or AROUND + own_score(len(token), known[word], confusions, others) >= BELIEVED:
-                    out.append((token, word, known[word], confusions, others))
+            t, w = trie.within(tokens)
+            for begin in range(0, len(t), PAIRS_AT_ONCE):
+                read, meant = [tokens[i] for i in t[begin : begin + PAIRS_AT_ONCE]], [trie.words[i] for i in w[begin : begin + PAIRS_AT_ONCE]]
+                for token, word, confusions, others in zip(read, meant, *(x.tolist() for x in lexicon.misreadings(read, meant))):
+                    if explained(len(token), confusions, others) or AROUND + own_score(len(token), known[word], confusions, others) >= BELIEVED:
+                        out.append((token, word, known[word], confusions, others))
         return pa.table([pa.array(c, type=t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()))], names=["token", "word", "n", "confusions", "others"])
 
     keys = ("size", "part", "spread")
