@@ -19,7 +19,8 @@ def number(cell: Column) -> Column:
 
 
 def iso_date(cell: Column, order: str = "iso") -> Column:
-    """A cell's date and time in ISO form, or null. Dates with slashes count only if ``order`` is ``mdy`` or ``dmy``."""
+    """A cell's date and time in ISO form, or null. Dates with slashes count only if ``order`` is ``mdy`` or ``dmy``. A time
+    with a zone keeps it as it is written (``Z`` as ``+00:00``)."""
     if order not in ("iso", "mdy", "dmy"):
         raise ValueError("dates are iso, mdy or dmy")
     shape = F.when(cell.rlike(r"^\d{4}-\d{2}-\d{2}(?:$|[ T])"), cell.try_cast("timestamp_ntz"))
@@ -27,7 +28,8 @@ def iso_date(cell: Column, order: str = "iso") -> Column:
         pattern = "M/d/yyyy" if order == "mdy" else "d/M/yyyy"
         slashed = F.when(cell.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(cell, F.lit(pattern)).cast("timestamp_ntz"))
         shape = F.coalesce(slashed, shape)
-    return F.date_format(shape, "yyyy-MM-dd'T'HH:mm:ss")
+    zone = F.regexp_replace(F.regexp_extract(cell, r"\d{2}:\d{2}[\d:.]*(Z|[+-]\d{2}:\d{2})$", 1), "^Z$", "+00:00")
+    return F.concat(F.date_format(shape, "yyyy-MM-dd'T'HH:mm:ss"), zone)
 
 
 def partial_sum(values: list[float]) -> list[float]:

@@ -130,6 +130,17 @@ def metadata(path: Column) -> dict[str, Column]:
     }
 
 
+def effective(path: Column, kind: Column, term: Column, access: Column) -> dict[str, Column]:
+    """``term`` and ``review`` as searches filter by them: a file without a term of its own has that of its top folder if it
+    is for the whole program, and solutions, assessments and archives are always to be reviewed."""
+    top = F.get(parts(path), F.lit(0))
+    guarded = kind.isin("solution", "assessment") | (suffix(path) == ".zip")
+    return {
+        "term": F.coalesce(F.nullif(term, F.lit("")), F.when(top == PROGRAM, PROGRAM), F.lit("")),
+        "review": F.when(guarded, "review_required").otherwise(F.coalesce(access, F.lit("not_reviewed"))),
+    }
+
+
 def review_reasons(route: Column, size: Column, access: Column) -> Column:
     """What about a file asks for a look."""
     return F.array_compact(

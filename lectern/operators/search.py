@@ -227,6 +227,31 @@ def cosine(vector: Column, other: Column) -> Column:
     return dot(vector, other) / F.sqrt(dot(vector, vector) * dot(other, other))
 
 
+def pooled(vectors: DataFrame, owner: str, vector: str) -> DataFrame:
+    """For each owner the mean of its vectors, each first brought to length 1, and the mean again: one vector for a text of
+    several windows. Vectors are expected usable and of one length; each number is a partial average, so an owner of very
+    many windows is reduced before it is shuffled. A mean of nothing but zeros stays so."""
+
+    def length(v: Column) -> Column:
+        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+    unit = vectors.select(owner, vector, length(F.col(vector)).alias("_l")).select(owner, F.transform(vector, lambda x: F.try_divide(x.cast("double"), F.col("_l"))).alias("_v"))
+    means = unit.select(owner, F.posexplode("_v").alias("_i", "_x")).groupBy(owner, "_i").agg(F.avg("_x").alias("_x"))
+    whole = means.groupBy(owner).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_v"))  # as long as a vector
+    return whole.withColumn("_l", length(F.col("_v"))).select(owner, F.transform("_v", lambda x: F.coalesce(F.try_divide(x, F.col("_l")), F.lit(0.0))).alias(vector))
+
+
+def first_known(wanted: DataFrame, known: DataFrame, keys: Sequence[str], key: str, value: str) -> DataFrame:
+    """``wanted`` with the ``value`` that ``known`` (``key``, ``value``) has for the first of several candidate ``keys``; null if
+    it has none. Repeated keys of ``known`` have equal values and count once."""
+    one = known.select(key, value).filter(F.col(key).isNotNull()).dropDuplicates([key])
+    out = wanted
+    for n, c in enumerate(keys):
+        out = out.join(one.select(F.col(key).alias(f"_k{n}"), F.col(value).alias(f"_v{n}")), F.col(c) == F.col(f"_k{n}"), "left")
+    found = F.coalesce(*[F.col(f"_v{n}") for n in range(len(keys))])
+    return out.withColumn(value, found).drop(*[f"_{x}{n}" for n in range(len(keys)) for x in "kv"])
+
+
 def best_windows(scored: DataFrame, owner: str, score: str, place: str, *columns: str) -> DataFrame:
     """For each owner its best window: the greatest score, and of equals the first place."""
     best = F.max_by(F.struct(*[F.col(c) for c in (score, place, *columns)]), F.struct(F.col(score), -F.col(place))).alias("best")

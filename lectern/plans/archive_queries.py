@@ -72,6 +72,14 @@ def index_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("path", *[c.alias(n) for n, c in paths.metadata(path).items()])
 
 
+def effective_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """The type of each file of the manifest with the term and review that searches filter by."""
+    path = F.col("source_path")
+    typed = manifest(spark, folder).filter("source_path is not null").withColumn("content_type", paths.metadata(path)["content_type"])
+    found = paths.effective(path, F.col("content_type"), F.col("term"), F.col("access_review"))
+    return typed.select("source_path", "content_type", *[c.alias(n) for n, c in found.items()]).distinct()
+
+
 def review_queue(spark: SparkSession, folder: str) -> DataFrame:
     rows = manifest(spark, folder).withColumn("access_review", F.coalesce("access_review", F.lit("not_reviewed")))
     reasons = paths.review_reasons(F.coalesce("route", F.lit("unsupported")), F.col("size_bytes"), F.col("access_review"))
@@ -143,7 +151,7 @@ def path_history(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        inventory_counts, duplicate_summary, canonical_paths, manifest_context, index_metadata, review_queue, metadata_filter, pinned_sources, facet_counts,
+        inventory_counts, duplicate_summary, canonical_paths, manifest_context, index_metadata, effective_metadata, review_queue, metadata_filter, pinned_sources, facet_counts,
         related_versions, alias_texts, source_states, export_records, first_chunks, coverage_groups, orphan_chunks, path_history,
     )
 }
@@ -257,3 +265,10 @@ WITH clean AS (
 ), runs AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY snapshot_no) AS run FROM marked)
 SELECT path, content_hash, min(snapshot_no) AS first_snapshot, max(snapshot_no) AS last_snapshot, count(*) AS snapshots FROM runs GROUP BY path, run, content_hash""",
 }
+ORACLES["effective_metadata"] = (
+    ORACLES["index_metadata"].replace("FROM sources WHERE path IS NOT NULL", "FROM (SELECT source_path AS path FROM manifest) WHERE path IS NOT NULL").replace("WITH p AS", "WITH typed AS (WITH p AS", 1)
+    + f""")
+SELECT DISTINCT m.source_path, content_type, coalesce(nullif(term, ''), CASE WHEN string_split(m.source_path, '/')[1] = 'Program-wide' THEN 'Program-wide' END, '') AS term,
+  CASE WHEN content_type IN ('solution', 'assessment') OR {SUFFIX.format(p="m.source_path")} = '.zip' THEN 'review_required' ELSE coalesce(access_review, 'not_reviewed') END AS review
+FROM manifest m JOIN typed t ON t.path = m.source_path"""
+)

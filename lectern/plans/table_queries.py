@@ -111,6 +111,14 @@ def _semantic(spark: SparkSession, folder: str) -> DataFrame:
     return search.best_windows(scored.withColumn("cosine", F.round("cosine", 5)), "rid", "cosine", "pos", "win_start", "win_end").filter("cosine >= 0.25")
 
 
+def pooled_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """One vector for each chunk with usable windows: its first and last number."""
+    finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = table(spark, folder, "vectors").filter((F.size("vector") == 384) & finite & F.exists("vector", lambda x: x != 0))
+    out = search.pooled(rows, "rid", "vector")
+    return out.select("rid", F.round(F.get("vector", F.lit(0)), 5).alias("first_number"), F.round(F.get("vector", F.lit(383)), 5).alias("last_number"))
+
+
 def best_windows(spark: SparkSession, folder: str) -> DataFrame:
     return _semantic(spark, folder).select("rid", "cosine", "win_start", "win_end")
 
@@ -166,7 +174,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         structured_aggregates, structured_dates, exact_totals, column_profile, preview_rows, cell_values, rolling_extremes, drawdowns, value_changes, filled_histogram, latest_events,
-        activity_runs, carried_values, cosine_topk, best_windows, hybrid_search, event_stream_windows, self_retrieval, retrieval_summary, title_passages,
+        activity_runs, carried_values, cosine_topk, pooled_vectors, best_windows, hybrid_search, event_stream_windows, self_retrieval, retrieval_summary, title_passages,
     )
 }
 
@@ -239,6 +247,12 @@ SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGN
     "cosine_topk": """
 WITH c AS (SELECT q.vec_id AS query, r.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS cosine FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0)
 SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank, round(cosine, 5) AS cosine FROM c QUALIFY rank <= 10""",
+    "pooled_vectors": "WITH one AS (SELECT 1)"
+    + _SEMANTIC
+    + """, unit AS (SELECT rid, list_transform(vector::DOUBLE[], lambda x: x / sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[]))) AS v FROM usable),
+each AS (SELECT rid, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM unit), m AS (SELECT rid, i, avg(x) AS x FROM each GROUP BY rid, i),
+l AS (SELECT rid, sqrt(sum(x * x)) AS l FROM m GROUP BY rid)
+SELECT rid, round(max(x) FILTER (i = 1) / any_value(l), 5) AS first_number, round(max(x) FILTER (i = 384) / any_value(l), 5) AS last_number FROM m JOIN l USING (rid) GROUP BY rid""",
     "best_windows": "WITH one AS (SELECT 1)" + _SEMANTIC + "SELECT rid, cosine, win_start, win_end FROM best WHERE cosine >= 0.25",
     "hybrid_search": _CHUNKS
     + ", rows AS (SELECT rid, document_id, locator_type, locator_value, " + _form_sql("e_text") + " AS text FROM t)"

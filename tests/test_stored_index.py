@@ -47,3 +47,9 @@ def test_an_index_is_made_once_and_again_when_its_source_changes(spark, tmp_path
 def test_search_form(spark, text, form):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(search_form(F.col("t"))).first()[0] == form
+
+
+def test_first_known_key(spark):
+    wanted = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z"), (None, "y")], "k1 string, k2 string")
+    known = spark.createDataFrame([("a", 1), ("x", 2), ("y", 3), ("y", 3), (None, 9)], "key string, v int")
+    assert {(r.k1, r.k2): r.v for r in search.first_known(wanted, known, ["k1", "k2"], "key", "v").collect()} == {("a", "x"): 1, ("b", "y"): 3, ("c", "z"): None, (None, "y"): 3}
