@@ -40,8 +40,6 @@ def token_estimate(text: Column) -> Column:
 
 #: After these a text may be cut: a line's end, or a sentence's with the blank behind it.
 _ENDS = re.compile(r"\n|\. ")
-#: White space as it is stripped from a piece.
-_AROUND = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
 def _pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -62,24 +60,26 @@ def chunks(records: DataFrame, key: list[str], text: str = "text", limit: int =
     of each record. Offsets are those of the whitespace-normalised text. Records without text give none, and neither does
     a piece that is blank.
 
-    The texts are read once. Only those beyond the limit go to Python, and only places come back from it.
+    The texts are read once. Only those beyond the limit go to Python.
     """
 
-    @F.pandas_udf("array<struct<s: int, e: int>>")
+    def stripped(t: str) -> list[dict]:
+        out = []
+        for s, e in _pieces(t, limit, overlap):
+            if own := t[s:e].strip():
+                first = s + t[s:e].index(own[0])
+                out.append({"s": first, "e": first + len(own), "t": own})
+        return out
+
+    @F.pandas_udf("array<struct<s: int, e: int, t: string>>")
     def places(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield batch.map(lambda t: [{"s": s, "e": e} for s, e in _pieces(t, limit, overlap)] if t is not None else None)
-
-    def stripped(p: Column) -> Column:
-        piece = F.substring("_t", p["s"] + 1, p["e"] - p["s"])
-        lead = F.length(piece) - F.length(F.regexp_replace(piece, f"^{_AROUND}+", ""))
-        own = F.regexp_replace(piece, f"^{_AROUND}+|{_AROUND}+\\z", "")
-        return F.struct((p["s"] + lead).alias("s"), (p["s"] + lead + F.length(own)).alias("e"), own.alias("t"))
+            yield batch.map(lambda t: stripped(t) if t is not None else None)
 
     clean = records.select(*key, normal_whitespace(F.col(text)).alias("_t")).filter("_t <> ''")
     cut = clean.withColumn("_p", places(F.when(F.length("_t") > limit, F.col("_t"))))
     whole = F.array(F.struct(F.lit(0).alias("s"), F.length("_t").alias("e"), F.col("_t").alias("t")))
-    kept = F.when(F.col("_p").isNull(), whole).otherwise(F.filter(F.transform("_p", stripped), lambda p: p["t"] != ""))
+    kept = F.coalesce("_p", whole)
     every = cut.select(*key, kept.alias("_c")).select(*key, F.size("_c").alias("part_count"), F.posexplode("_c").alias("_n", "c"))
     return every.select(
         *key, (F.col("_n") + 1).alias("part_number"), "part_count", F.col("c.s").alias("char_start"), F.col("c.e").alias("char_end"), token_estimate(F.col("c.t")).alias("token_estimate"), F.col("c.t").alias("text")
